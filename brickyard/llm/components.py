@@ -30,14 +30,14 @@ def _thin(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def connected_components(links: DataFrame) -> DataFrame:
     """``links`` (a, b: long) to ``node, component``: the smallest node reachable, for each linked node.
 
-    Links are thinned batch by batch to stars, then large-star and small-star rounds run until
+    Links are thinned batch by batch to stars, once as they come and once dealt anew, then large-star and small-star rounds run until
     nothing changes; each round is written to the shared folder, so a lost executor costs one
     round at most. Nothing is gathered on the driver but a count and a checksum.
     Null ends and self links are ignored; no links give no rows.
     """
     links = links.select(F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b"))
-    links = links.where("a < b").mapInPandas(_thin, "a long, b long").distinct()
-    now = materialize(links)
+    stars = links.where("a < b").mapInPandas(_thin, "a long, b long").distinct()
+    now = materialize(stars.mapInPandas(_thin, "a long, b long"))
     sign = None
     while True:
         # Large star: every larger neighbour of u links to the smallest of u's neighbourhood.

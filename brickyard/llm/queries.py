@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, hnsw, pii, quality, toxicity, urlfilter, warc
+from . import bpe, decontaminate, hnsw, jaccard, pii, quality, toxicity, urlfilter, warc
 from .common import fold, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -60,3 +60,8 @@ def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every page to archives and read them back."""
     return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate documents by word shingles."""
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
