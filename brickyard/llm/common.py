@@ -50,6 +50,20 @@ def drop(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+#: Ids that are sent to all tasks to pick rows by, at most (8 bytes each); more are joined by a shuffle.
+SEND_IDS = 1_000_000
+
+
+def sendable(ids: DataFrame) -> DataFrame:
+    """``ids``, a single column of numbers in the shared folder, marked for broadcast if its counted size allows."""
+    return F.broadcast(ids) if ids.count() <= SEND_IDS else ids
+
+
+def discard(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` without the rows whose id is in ``ids``; rows with a null id stay."""
+    return docs.join(sendable(materialize(ids.select(id_col).where(F.col(id_col).isNotNull()).distinct())), id_col, "left_anti").select(docs.columns)
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions, the knob that scales every keyed stage here."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

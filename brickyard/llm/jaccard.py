@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Forest, as_bytes, ascii_words, by_sorted_group, materialize, mix64, partitions, runs
+from .common import Forest, as_bytes, ascii_words, by_sorted_group, materialize, mix64, partitions, runs, sendable
 from .components import connected_components
 
 WORDS = 5
@@ -39,8 +39,6 @@ GROUPS = 64
 COMMON = 32_768
 #: Sets in a block of the comparison of min-hash classes, and points of a shard handled together.
 BLOCK, CELL = 384, 4_096
-#: Ids of documents that are sent to all tasks to pick them from the table, at most (8 bytes each).
-SEND_IDS = 1_000_000
 LEAF = 16
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -324,12 +322,10 @@ def _links(spark: SparkSession, pair: DataFrame, classes: DataFrame, common: np.
     )
     some = shared.select("s1").distinct()
     ids = materialize(classes.join(some, "s1", "left_semi").groupBy("s1").agg(F.min("rep").alias("id")))
-    wanted = ids.select("id").distinct()
-    n = wanted.count()
-    texts = pair.join(F.broadcast(wanted) if n <= SEND_IDS else wanted, "id", "left_semi").select("text")
+    texts = pair.join(sendable(ids.select("id").distinct()), "id", "left_semi").select("text")
     sets = materialize(
         texts.mapInArrow(_sets, "s1 long, n long, m0 long, m1 long, point binary, shingles binary").join(
-            F.broadcast(ids.select("s1")) if n <= SEND_IDS else ids.select("s1"), "s1", "left_semi"
+            sendable(ids.select("s1")), "s1", "left_semi"
         )
         .dropDuplicates(["s1"])
     )

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, hnsw, jaccard, pii, quality, toxicity, urlfilter, warc
+from . import bpe, decontaminate, hnsw, jaccard, pii, quality, substring, toxicity, urlfilter, warc
 from .common import fold, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -65,3 +65,128 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate documents by word shingles."""
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words and more that an earlier document holds too."""
+    return substring.near_passages(table(spark, sf_dir, "documents"))
+
+
+def op7_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a capture against dated lists of hosts, domains and folders derived from the pages.
+
+    The tables hold no lists, so a rule over each host's first page makes them: a third of the
+    hosts are listed and taken off again, some domains and folders too.
+    """
+    pages = table(spark, sf_dir, "pages")
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp")
+
+    def at(minutes):
+        return F.timestamp_seconds(F.unix_seconds(start) + 60 * minutes)
+
+    captures = pages.select(F.col("page_id").alias("capture_id"), "url", at(F.pmod(F.col("page_id") * 37, F.lit(43_200))).alias("fetched"))
+    hosts = pages.select("page_id", urlfilter.host(F.col("url")).alias("host")).where("host is not null").groupBy("host").agg(F.min("page_id").alias("f"))
+    domains = hosts.select(F.substring_index("host", ".", -2).alias("host"), "f").groupBy("host").agg(F.min("f").alias("f"))
+    day = 1_440
+
+    def events(rows: DataFrame, kind: str, key, category: str, action: str, minutes) -> DataFrame:
+        return rows.select(F.lit(kind).alias("kind"), key.alias("key"), F.lit(category).alias("category"), F.lit(action).alias("action"), at(minutes).alias("ts"))
+
+    f, h = F.col("f"), F.col("host")
+    listed, left, back = hosts.where("f % 3 = 0"), hosts.where("f % 6 = 0"), hosts.where("f % 12 = 0")
+    spam, folder = domains.where("f % 4 = 1"), hosts.where("f % 5 = 1")
+    found = (
+        events(listed, "host", h, "ads", "add", F.pmod(f * 11, F.lit(20_000)))
+        .union(events(left, "host", h, "ads", "remove", F.pmod(f * 11, F.lit(20_000)) + 5 * day))
+        .union(events(back, "host", h, "ads", "add", F.pmod(f * 11, F.lit(20_000)) + 9 * day))
+        .union(events(spam, "domain", h, "spam", "add", F.lit(5 * day)))
+        .union(events(spam, "domain", h, "spam", "remove", F.lit(20 * day)))
+        .union(events(folder, "prefix", F.concat(h, F.lit("/en/")), "english", "add", F.lit(3 * day)))
+    )
+    return urlfilter.evaluate(captures, found).select(
+        "capture_id", "host", "blocked", F.size("categories").cast("long").alias("n_categories"), F.array_join("categories", ",").alias("categories")
+    )
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_bpe, op2_jaccard, op3_near_vectors, op4_substring, op5_quality, op6_toxicity, op7_urlfilter, op8_decontaminate, op9_warc, op10_pii)
+}
+
+_REACH = """
+, reach(x, y) AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+, low AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
+"""
+
+ORACLES = {
+    "op2_jaccard": f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, k, k + 4), ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM words WHERE len(w) > 0)
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+both_have AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT x, y FROM both_have JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * k >= 75 * (p.n + q.n - k)
+){_REACH}
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(low.y, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN low ON low.x = d.doc_id
+""",
+    "op3_near_vectors": f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+){_REACH}
+SELECT e.vec_id, coalesce(n, 0) AS n_links, least(e.vec_id, coalesce(low.y, e.vec_id)) AS component_id, e.vec_id <= coalesce(low.y, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN low ON low.x = e.vec_id LEFT JOIN (SELECT x, count(*) AS n FROM links GROUP BY x) c ON c.x = e.vec_id
+""",
+    "op7_urlfilter": """
+WITH h AS (
+  SELECT page_id, url, nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '\\.$', ''), '') AS host,
+    coalesce(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), ''), '/') AS path, (page_id * 37) % 43200 AS t
+  FROM pages
+), hosts AS (SELECT host, min(page_id) AS f FROM h WHERE host IS NOT NULL GROUP BY host),
+domains AS (SELECT array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS host, min(f) AS f FROM hosts GROUP BY 1),
+hits AS (
+  SELECT page_id, 'ads' AS category FROM h JOIN hosts USING (host)
+  WHERE f % 3 = 0 AND t >= (f * 11) % 20000 AND (f % 6 <> 0 OR t < (f * 11) % 20000 + 7200 OR f % 12 = 0 AND t >= (f * 11) % 20000 + 12960)
+  UNION ALL
+  SELECT page_id, 'spam' FROM h JOIN domains d ON h.host = d.host OR ends_with(h.host, '.' || d.host) WHERE f % 4 = 1 AND t >= 7200 AND t < 28800
+  UNION ALL
+  SELECT page_id, 'english' FROM h JOIN hosts USING (host) WHERE f % 5 = 1 AND t >= 4320 AND starts_with(lower(path), '/en/')
+), found AS (SELECT page_id, list_sort(list(DISTINCT category)) AS c FROM hits GROUP BY page_id)
+SELECT page_id AS capture_id, host, c IS NOT NULL AS blocked, coalesce(len(c), 0) AS n_categories, coalesce(array_to_string(c, ','), '') AS categories
+FROM h LEFT JOIN found USING (page_id)
+""",
+    "op8_decontaminate": """
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), items AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, m, array_to_string(list_slice(w, k, k + m - 1), ' ') AS s
+  FROM (SELECT item_id, w, least(len(w), 10) AS m, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS k FROM items WHERE len(w) > 0)
+), lengths AS (SELECT DISTINCT m FROM windows),
+runs AS (
+  SELECT doc_id, k, m, array_to_string(list_slice(w, k, k + m - 1), ' ') AS s
+  FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS k FROM docs, lengths WHERE len(w) >= m)
+), found AS (SELECT doc_id, k, runs.m, item_id FROM runs JOIN windows ON runs.s = windows.s AND runs.m = windows.m),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(k, k + m)) AS p FROM found) GROUP BY doc_id),
+named AS (SELECT doc_id, list_sort(list(DISTINCT item_id)) AS c FROM found GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_hit, coalesce(len(c), 0) AS n_items,
+  sha256(coalesce(array_to_string(c, ','), '')) AS items_sha256, coalesce(n, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+""",
+    "op9_warc": """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+q AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS f FROM p)
+SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN n >= 100 AND page_id <> f THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND page_id <> f THEN f END AS refers_to
+FROM q
+""",
+}
