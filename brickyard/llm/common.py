@@ -50,12 +50,12 @@ def drop(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-#: Ids that are sent to all tasks to pick rows by, at most (8 bytes each); more are joined by a shuffle.
+#: Rows of a few numbers that are sent to all tasks to pick others by, at most; more are joined by a shuffle.
 SEND_IDS = 1_000_000
 
 
 def sendable(ids: DataFrame) -> DataFrame:
-    """``ids``, a single column of numbers in the shared folder, marked for broadcast if its counted size allows."""
+    """``ids``, a few columns of numbers in the shared folder, marked for broadcast if its counted size allows."""
     return F.broadcast(ids) if ids.count() <= SEND_IDS else ids
 
 
@@ -104,10 +104,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def runs(frames: Iterator[pd.DataFrame], keys: list[str], room: int = 200_000) -> Iterator[list[pd.DataFrame]]:
-    """Cut a partition sorted by ``keys`` into lists of whole groups of about ``room`` rows at least.
+def whole_groups(frames: Iterator[pd.DataFrame], keys: list[str], room: int = 200_000) -> Iterator[pd.DataFrame]:
+    """Cut a partition sorted by ``keys`` into frames of whole groups, of about ``room`` rows at least.
 
-    A group is never split between two lists; memory is bounded by ``room`` plus the largest group.
+    A group is never split between two frames; memory is bounded by ``room`` plus the largest group.
     """
     held: list[pd.DataFrame] = []
     n = 0
@@ -124,21 +124,20 @@ def runs(frames: Iterator[pd.DataFrame], keys: list[str], room: int = 200_000) -
             same &= (whole[k] == whole[k].iloc[-1]).to_numpy()
         cut = int(np.argmax(same))
         if cut:
-            yield groups(whole.iloc[:cut], keys)
+            yield whole.iloc[:cut]
             whole = whole.iloc[cut:]
         held, n = [whole], len(whole)
     if held:
-        yield groups(pd.concat(held, ignore_index=True), keys)
+        yield pd.concat(held, ignore_index=True)
 
 
-def groups(frame: pd.DataFrame, keys: list[str]) -> list[pd.DataFrame]:
-    """Split a frame sorted by ``keys`` where they change."""
+def cuts(frame: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    """Where the groups of a frame sorted by ``keys`` start, and its end."""
     change = np.zeros(len(frame), bool)
     for k in keys:
         v = frame[k].to_numpy()
         change[1:] |= v[1:] != v[:-1]
-    cuts = [0, *np.flatnonzero(change).tolist(), len(frame)]
-    return [frame.iloc[a:b] for a, b in zip(cuts, cuts[1:])]
+    return np.concatenate([[0], np.flatnonzero(change), [len(frame)]])
 
 
 def by_sorted_group(df: DataFrame, keys: list[str], function: Callable[[pd.DataFrame], pd.DataFrame | None], schema: str) -> DataFrame:
@@ -149,8 +148,9 @@ def by_sorted_group(df: DataFrame, keys: list[str], function: Callable[[pd.DataF
     """
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for some in runs(frames, keys):
-            out = [x for x in map(function, some) if x is not None and len(x)]
+        for some in whole_groups(frames, keys):
+            at = cuts(some, keys).tolist()
+            out = [x for a, b in zip(at, at[1:]) if (x := function(some.iloc[a:b])) is not None and len(x)]
             if out:
                 yield pd.concat(out, ignore_index=True)
 

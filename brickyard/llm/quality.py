@@ -97,7 +97,8 @@ class BradleyTerry:
         return np.clip((x - self.mean) / self.scale, -8, 8)
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        s = self._standard(x) @ self.weights - self.cut
+        # Row by row, so that a score does not depend on the rows it is computed with.
+        s = (self._standard(x) * self.weights).sum(axis=1) - self.cut
         return 1 / (1 + np.exp(-np.clip(s + np.log(CUT / (1 - CUT)), -30, 30)))
 
 
