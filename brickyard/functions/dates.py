@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from brickyard.functions import fixed
-from brickyard.functions.text import clean, find_all, group
+from brickyard.functions.text import clean, find_all, group, let
 
 
 def _n(text: Column, default: Column | None = None) -> Column:
@@ -74,8 +74,11 @@ def day_only(text: Column, today: Column) -> Column:
 
 def any_form(text: Column, today: Column, bare_day: bool = True) -> Column:
     """The first form that gives a real moment."""
-    forms = [iso(text), numeric(text), relative(text, today), named_month(text, today), hours_ago(text, today)]
-    return F.coalesce(*forms, *([day_only(text, today)] if bare_day else []))
+    def first(t: Column) -> Column:
+        forms = [iso(t), numeric(t), relative(t, today), named_month(t, today), hours_ago(t, today)]
+        return F.coalesce(*forms, *([day_only(t, today)] if bare_day else []))
+
+    return let(text, first)
 
 
 def marked(text: Column, today: Column) -> Column:
@@ -89,9 +92,11 @@ def published(source: Column, value: Column, description: Column, today: Column)
 
     One source's texts are never searched for a date beyond its column and marks.
     """
-    v, d = clean(value), clean(description)
-    free = F.when(source.isNull() | (source != "DIM.RIA"), any_form(clean(F.concat_ws(" ", v, d)), today, bare_day=False))
-    return F.coalesce(marked(d, today), any_form(v, today), free)
+    def from_both(x: Column) -> Column:
+        free = F.when(source.isNull() | (source != "DIM.RIA"), any_form(clean(F.concat_ws(" ", x["v"], x["d"])), today, bare_day=False))
+        return F.coalesce(marked(x["d"], today), any_form(x["v"], today), free)
+
+    return let(F.struct(clean(value).alias("v"), clean(description).alias("d")), from_both)
 
 
 def as_text(moment: Column) -> Column:

@@ -7,6 +7,7 @@ only. Where a text has no match the result is null for numbers and "" for texts,
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -21,10 +22,14 @@ def _i(pattern: str) -> str:
     return "(?iuU)" + pattern
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def group(text: Column, pattern: str, n: int = 1) -> Column:
     """Group ``n`` of the first match without regard to case; null where there is none or it is empty."""
-    found = F.regexp_extract(text, _i(pattern), n)
-    return F.when(found != "", found)
+    return F.nullif(F.regexp_extract(text, _i(pattern), n), F.lit(""))
 
 
 def has(text: Column, pattern: str) -> Column:
@@ -38,18 +43,24 @@ def find_all(text: Column, pattern: str, groups: int = 0) -> Column:
     The starts follow from the texts between the matches; the pattern must not match the empty text.
     """
     p = F.lit(_i(pattern))
-    found = F.regexp_extract_all(text, p, 0)
-    between = F.split(text, _i(pattern), -1)
+    parts = F.struct(
+        F.regexp_extract_all(text, p, 0).alias("found"), F.transform(F.split(text, _i(pattern), -1), F.length).alias("between"),
+        *[F.regexp_extract_all(text, p, g).alias(f"g{g}") for g in range(1, groups + 1)],
+    )
+
+    def total(lengths: Column, n: Column) -> Column:
+        return F.aggregate(F.slice(lengths, F.lit(1), n), F.lit(0), lambda s, x: s + x)
+
+    def place(a: Column) -> Column:
+        sizes = F.transform(a["found"], F.length)
 
-    def length(array: Column, n: Column) -> Column:
-        return F.aggregate(F.slice(array, F.lit(1), n), F.lit(0), lambda s, x: s + F.length(x))
+        def one(x: Column, i: Column) -> Column:
+            start = total(a["between"], i + 1) + total(sizes, i)
+            return F.struct(start.alias("start"), x.alias("text"), *[F.get(a[f"g{g}"], i).alias(f"g{g}") for g in range(1, groups + 1)])
 
-    def one(x: Column, i: Column) -> Column:
-        start = length(between, i + 1) + length(found, i)
-        parts = [F.get(F.regexp_extract_all(text, p, g), i).alias(f"g{g}") for g in range(1, groups + 1)]
-        return F.struct(start.alias("start"), x.alias("text"), *parts)
+        return F.transform(a["found"], one)
 
-    return F.transform(found, one)
+    return let(parts, place)
 
 
 def clean(text: Column) -> Column:
@@ -137,8 +148,7 @@ def floor_strict(text: Column) -> Column:
 
 def small_int(text: Column) -> Column:
     """A whole number from 1 to 40, else null."""
-    n = F.trim(text).try_cast("int")
-    return F.when(F.trim(text).rlike(r"^[+-]?\d+$") & n.between(1, 40), n)
+    return F.nullif(F.regexp_extract(F.trim(text), r"^\+?0*([1-9]|[1-3][0-9]|40)$", 1), F.lit("")).cast("int")
 
 
 def valid_floor(floor_: Column, floors: Column) -> Column:
@@ -154,8 +164,8 @@ def weak_floor(floor_: Column, floors: Column) -> Column:
 def detail_floor(text: Column) -> Column:
     """(floor, floors) from a detail page: the first valid pair, else the first floor by name, else nulls."""
     def pair(p: str) -> Column:
-        a, b = small_int(group(text, p, 1)), small_int(group(text, p, 2))
-        return F.when(valid_floor(a, b), F.struct(a.alias("floor"), b.alias("floors")))
+        both = F.struct(small_int(group(text, p, 1)).alias("floor"), small_int(group(text, p, 2)).alias("floors"))
+        return let(both, lambda x: F.when(valid_floor(x["floor"], x["floors"]), x))
 
     none = F.lit(None).cast("int")
     first = F.when(has(text, fixed.DETAIL_FIRST_FLOOR), F.lit(1))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brickyard.plans import insights
+from brickyard.plans import engine_queries, insights
 from brickyard.plans.insight_oracles import ORACLES as INSIGHT_ORACLES
 from brickyard.plans.listings import listings
 
@@ -24,4 +24,6 @@ QUERIES: dict[str, Query] = {
     for name in INSIGHT_ORACLES if name != "listings_clean"
 } | {"listings_clean": _over_listings(lambda v: v.select(*_CLEAN))}
 
-ORACLES: dict[str, str] = dict(INSIGHT_ORACLES)
+QUERIES |= engine_queries.QUERIES
+
+ORACLES: dict[str, str] = INSIGHT_ORACLES | engine_queries.ORACLES
