@@ -170,8 +170,8 @@ def _quoted(city: Column) -> Column:
 
 
 def _after(value: Column, city: Column, before: str, after: str, n: int = 1) -> Column:
-    found = F.regexp_extract(value, F.concat(F.lit("(?U)" + before), _quoted(city), F.lit(after)), n)
-    return F.trim(found)
+    pattern = F.concat(F.lit("(?U)" + before), _quoted(city), F.lit(after))
+    return F.trim(F.call_function("regexp_extract", value, pattern, F.lit(n)))
 
 
 def listings_from_cards(found: DataFrame, rate: float = fixed.UAH_RATE) -> DataFrame:
