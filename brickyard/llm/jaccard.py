@@ -29,14 +29,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Forest, as_bytes, ascii_words, by_sorted_group, materialize, mix64, partitions, runs, sendable
+from .common import Forest, as_bytes, by_sorted_group, cuts, materialize, mix64, partitions, sendable, whole_groups
 from .components import connected_components
 
 WORDS = 5
 #: Hash groups of shingles, the coordinates of a point.
 GROUPS = 64
-#: Common shingles that come last in the order, at most: what is sent to all tasks is bounded by it.
-COMMON = 32_768
+#: Finer groups, for the bound that pairs from the trees must pass before their sets are read.
+WIDE = 1_024
+#: Common shingles that come last in the order, at most; the driver holds them, the tasks a table of flags.
+COMMON = 262_144
 #: Sets in a block of the comparison of min-hash classes, and points of a shard handled together.
 BLOCK, CELL = 384, 4_096
 LEAF = 16
@@ -44,38 +46,79 @@ LEAF = 16
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Shingler:
-    """Sets of shingles as sorted unique 64-bit hashes; remembers the hashes of words it has seen."""
-
-    def __init__(self, room: int = 1_000_000):
-        self.known: dict[bytes, int] = {}
-        self.room = room
-
-    def hashes(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > self.room:
-            known.clear()
-        try:
-            return np.array([known[w] for w in words], np.uint64)
-        except KeyError:
-            for w in words:
-                if w not in known:
-                    known[w] = xxhash.xxh3_64_intdigest(w)
-            return np.array([known[w] for w in words], np.uint64)
-
-    def shingles(self, words: list[bytes]) -> np.ndarray:
-        """The hash of each run of WORDS words in order; of fewer words the one run there is."""
-        if not words:
-            return np.zeros(0, np.uint64)
-        h = self.hashes(words)
-        size = min(WORDS, len(h))
-        out = np.full(len(h) - size + 1, size, np.uint64)
-        for k in range(size):
-            out = out * _FACTOR + h[k : len(h) - size + 1 + k]
-        return mix64(out)
-
-    def set_of(self, text: bytes | None) -> np.ndarray:
-        return np.unique(self.shingles(ascii_words(text)))
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+#: A random 64-bit number for each byte, lower-cased (A-Z only).
+_BYTE = mix64(np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint64) + np.uint64(1))
+_BASE = np.uint64(0xD6E8FEB86659FD93)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+#: Bytes of text whose shingles are made together; a longer text is a batch of its own.
+BATCH_BYTES = 2_000_000
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def shingle_batch(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of all texts in order, as 64-bit hashes, and how many each text has.
+
+    A shingle is WORDS consecutive words, or all words of a text of fewer; words are runs of
+    anything but ASCII white space, A-Z lower-cased. A word's hash is a polynomial over random
+    numbers of its bytes, taken from prefix sums modulo 2^64 for all words at once.
+    """
+    sizes = np.array([len(t or b"") for t in texts], np.int64)
+    data = np.frombuffer(b" ".join(t or b"" for t in texts) + b" ", np.uint8)
+    edge = np.concatenate([[0], np.cumsum(sizes + 1)])
+    space = _SPACE[data]
+    first = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+    last = np.flatnonzero(space & np.concatenate([[False], ~space[:-1]]))
+    if not len(first):
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * _powers(_BASE, len(data)))])
+    words = mix64((sums[last] - sums[first]) * _powers(_INVERSE, len(data))[first] + (last - first).astype(np.uint64))
+    bound = np.searchsorted(first, edge)
+    n = np.diff(bound)
+    whole = np.full(max(0, len(words) - WORDS + 1), WORDS, np.uint64)
+    for k in range(WORDS):
+        whole = whole * _FACTOR + words[k : len(words) - WORDS + 1 + k]
+    whole = mix64(whole)
+    out, count = [], np.where(n >= WORDS, n - WORDS + 1, np.minimum(n, 1))
+    for a, k, c in zip(bound.tolist(), n.tolist(), count.tolist()):
+        if k >= WORDS:
+            out.append(whole[a : a + c])
+        elif k:
+            h = np.full(1, k, np.uint64)
+            for w in words[a : a + k]:
+                h = h * _FACTOR + w
+            out.append(mix64(h))
+    return np.concatenate(out), count
+
+
+def sequences(texts: list[bytes | None]) -> Iterator[np.ndarray]:
+    """The shingles of each text in order."""
+    a = 0
+    while a < len(texts):
+        b, size = a, 0
+        while b < len(texts) and (b == a or size + len(texts[b] or b"") <= BATCH_BYTES):
+            size += len(texts[b] or b"")
+            b += 1
+        flat, count = shingle_batch(texts[a:b])
+        yield from np.split(flat, np.cumsum(count)[:-1])
+        a = b
+
+
+def shingle_sets(texts: list[bytes | None]) -> Iterator[np.ndarray]:
+    """The distinct shingles of each text, sorted."""
+    for s in sequences(texts):
+        s = np.sort(s)
+        if len(s) > 1:
+            keep = np.ones(len(s), bool)
+            np.not_equal(s[1:], s[:-1], out=keep[1:])
+            s = s[keep]
+        yield s
 
 
 def _signature(s: np.ndarray) -> tuple[int, int]:
@@ -85,13 +128,12 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
 
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Set size and signature of each document, and the common shingles of each batch with their counts."""
-    shingler = Shingler()
     for batch in batches:
-        sets = [shingler.set_of(t) for t in as_bytes(batch.column(1))]
+        sets = [*shingle_sets(as_bytes(batch.column(1)))]
         signs = [_signature(s) for s in sets]
         values, counts = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_counts=True)
-        some = np.flatnonzero(counts >= 4)
-        some = some[np.argsort(-counts[some], kind="stable")[:COMMON]]
+        some = np.flatnonzero(counts >= 2)
+        some = some[np.argsort(-counts[some], kind="stable")[:COMMON // 4]]
         n, m = len(sets), len(some)
         pad = lambda x, after: pa.array([*x, *[None] * m] if after else [*[None] * n, *x], pa.int64())
         yield pa.record_batch(
@@ -100,25 +142,34 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+#: Bits of a shingle that pick its flag in the table of common ones (one byte each, 2 MB in all).
+FLAG_BITS = 21
+
+
+def flags(common: np.ndarray) -> np.ndarray:
+    """Table of flags of the common shingles. One that shares a flag with a common one counts as common too."""
+    out = np.zeros(1 << FLAG_BITS, bool)
+    out[(common >> np.uint64(64 - FLAG_BITS)).astype(np.int64)] = True
+    return out
+
+
 def prefix(s: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The first n - ceil(0.75 n) + 1 of a set, by hash, the common ones (sorted) last."""
+    """The first n - ceil(0.75 n) + 1 of a set, by hash, those with a flag in ``common`` last."""
     n = len(s)
     size = n - (3 * n + 3) // 4 + 1 if n else 0
-    if len(common):
-        last = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
-        if last[:size].any():
-            s = np.concatenate([s[~last], s[last]])
+    last = common[(s >> np.uint64(64 - FLAG_BITS)).astype(np.int64)]
+    if last[:size].any():
+        s = np.concatenate([s[~last], s[last]])
     return s[:size]
 
 
-def _keys(common: np.ndarray):
+def _keys(shared):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
+        common = shared.value
         for batch in batches:
             done: set[int] = set()
             keys, owners = [], []
-            for text in as_bytes(batch.column(0)):
-                s = shingler.set_of(text)
+            for s in shingle_sets(as_bytes(batch.column(0))):
                 if not len(s) or (own := _signature(s)[0]) in done:
                     continue
                 done.add(own)
@@ -131,19 +182,38 @@ def _keys(common: np.ndarray):
     return work
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shingler = Shingler()
+def point(s: np.ndarray, groups: int) -> bytes:
+    """Counts of a set's shingles by hash group, one byte each; 255 stands for any larger count."""
+    return np.minimum(np.bincount((s >> np.uint64(40)) % np.uint64(groups), minlength=groups), 255).astype(np.uint8).tobytes()
+
+
+def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Size, min-hashes and count vectors of each class that a task meets."""
     seeds = np.array([0x5851F42D4C957F2D, 0x14057B7EF767814F], np.uint64)
+    done: set[int] = set()
     for batch in batches:
         rows = []
-        for text in as_bytes(batch.column(0)):
-            s = shingler.set_of(text)
-            if len(s):
-                point = np.minimum(np.bincount((s >> np.uint64(40)) % np.uint64(GROUPS), minlength=GROUPS), 255).astype(np.uint8)
-                rows.append((_signature(s)[0], len(s), *(int(mix64(s ^ k).min().view(np.int64)) for k in seeds), point.tobytes(), s.tobytes()))
+        for s in shingle_sets(as_bytes(batch.column(0))):
+            if len(s) and (own := _signature(s)[0]) not in done:
+                done.add(own)
+                mins = (int(mix64(s ^ k).min().view(np.int64)) for k in seeds)
+                rows.append((own, len(s), *mins, point(s, GROUPS), point(s, WIDE)))
         columns = [*zip(*rows)] if rows else [()] * 6
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-        yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], ["s1", "n", "m0", "m1", "point", "shingles"])
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], ["s1", "n", "m0", "m1", "point", "wide"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The set of each class that a task meets."""
+    done: set[int] = set()
+    for batch in batches:
+        rows = []
+        for s in shingle_sets(as_bytes(batch.column(0))):
+            if len(s) and (own := _signature(s)[0]) not in done:
+                done.add(own)
+                rows.append((own, len(s), s.tobytes()))
+        columns = [*zip(*rows)] if rows else [()] * 3
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.int64(), pa.binary()])], ["s1", "n", "shingles"])
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -244,25 +314,24 @@ def may_link(p: np.ndarray, q: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
 
 def _candidates(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Pairs of different components within each shard that the count vectors do not rule out."""
-    for some in runs(frames, ["key", "x", "y"]):
+    for f in whole_groups(frames, ["key", "x", "y"]):
+        at = cuts(f, ["key", "x", "y"])
+        size = np.diff(at)
+        shard = np.repeat(np.arange(len(size)), size)
+        points = np.frombuffer(b"".join(f.point), np.uint8).reshape(-1, GROUPS)
+        n, c, s = f.n.to_numpy(), f.c.to_numpy(), f.s1.to_numpy()
         out: list[tuple[np.ndarray, np.ndarray]] = []
-        small = [g for g in some if len(g) <= LEAF]
-        for g in some:
-            if len(g) > LEAF:
-                points = np.frombuffer(b"".join(g.point), np.uint8).reshape(-1, GROUPS)
-                i, j = CountTree(points, g.n.to_numpy()).pairs()
-                c, s = g.c.to_numpy(), g.s1.to_numpy()
-                differ = c[i] != c[j]
-                out.append((s[i[differ]], s[j[differ]]))
-        if small:
-            # A shard of a leaf or less is compared as one; all such shards of the batch together.
-            f = pd.concat(small, ignore_index=True)
-            shard = np.repeat(np.arange(len(small)), [len(g) for g in small])
-            points, n, c, s = np.frombuffer(b"".join(f.point), np.uint8).reshape(-1, GROUPS), f.n.to_numpy(), f.c.to_numpy(), f.s1.to_numpy()
-            for step in range(1, LEAF):
-                i = np.flatnonzero((shard[step:] == shard[:-step]) & (c[step:] != c[:-step]))
-                i = i[may_link(points[i], points[i + step], n[i], n[i + step])]
-                out.append((s[i], s[i + step]))
+        for k in np.flatnonzero(size > LEAF).tolist():
+            here = slice(at[k], at[k + 1])
+            i, j = (x + at[k] for x in CountTree(points[here], n[here]).pairs())
+            differ = c[i] != c[j]
+            out.append((s[i[differ]], s[j[differ]]))
+        # A shard of a leaf or less is compared as one; all such shards of the frame together.
+        small = size[shard] <= LEAF
+        for step in range(1, LEAF):
+            i = np.flatnonzero(small[step:] & (shard[step:] == shard[:-step]) & (c[step:] != c[:-step]))
+            i = i[may_link(points[i], points[i + step], n[i], n[i + step])]
+            out.append((s[i], s[i + step]))
         pairs = np.stack([np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])], 1)
         pairs = np.unique(np.sort(pairs, axis=1), axis=0)
         yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
@@ -279,6 +348,13 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
+def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, WIDE) for c in batch.columns[2:4])
+        n, m = (c.to_numpy(zero_copy_only=False) for c in batch.columns[4:6])
+        yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(may_link(x, y, n, m)))
+
+
 def _named(labels: DataFrame | None, nodes: DataFrame) -> DataFrame:
     """Each node (s1) with its component so far, c."""
     if labels is None:
@@ -301,8 +377,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = materialize(pair.mapInArrow(_first_pass, "id long, n long, s1 long, s2 long, shingle long, times long"))
     rows = first.where("s1 is not null").select("id", "n", "s1", "s2")
     often = first.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times"))
-    common = [r.shingle for r in often.where("times >= 32").orderBy(F.desc("times"), "shingle").limit(COMMON).select("shingle").collect()]
-    last = np.sort(np.array(common, np.int64).view(np.uint64))
+    common = often.where("times >= 6").orderBy(F.desc("times"), "shingle").limit(COMMON).select("shingle").toArrow()
+    last = flags(common.column(0).to_numpy().astype(np.int64).view(np.uint64))
     classes = rows.where("n > 0 and id is not null").groupBy("s1", "s2").agg(F.min("id").alias("rep"))
 
     links = _links(spark, pair, classes, last)
@@ -315,29 +391,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _links(spark: SparkSession, pair: DataFrame, classes: DataFrame, common: np.ndarray) -> DataFrame:
     """Verified links between classes of equal sets that connect each component."""
-    keys = pair.where("id is not null").select("text").mapInArrow(_keys(common), "key long, s1 long")
+    keys = pair.where("id is not null").select("text").mapInArrow(_keys(spark.sparkContext.broadcast(common)), "key long, s1 long")
     same = Window.partitionBy("key")
     shared = materialize(
         keys.withColumn("low", F.min("s1").over(same)).withColumn("high", F.max("s1").over(same)).where("low < high").select("key", "s1").distinct()
     )
     some = shared.select("s1").distinct()
     ids = materialize(classes.join(some, "s1", "left_semi").groupBy("s1").agg(F.min("rep").alias("id")))
-    texts = pair.join(sendable(ids.select("id").distinct()), "id", "left_semi").select("text")
-    sets = materialize(
-        texts.mapInArrow(_sets, "s1 long, n long, m0 long, m1 long, point binary, shingles binary").join(
-            sendable(ids.select("s1")), "s1", "left_semi"
-        )
-        .dropDuplicates(["s1"])
-    )
+
+    def read(some: DataFrame, function, schema: str) -> DataFrame:
+        """What ``function`` makes of one text of each class in ``some``; sets are made anew, not kept."""
+        texts = pair.join(sendable(some.select("id").distinct()), "id", "left_semi").select("text")
+        return texts.mapInArrow(function, schema).join(sendable(some.select("s1")), "s1", "left_semi")
+
+    def sets_of(some: DataFrame) -> DataFrame:
+        return read(materialize(ids.join(some, "s1", "left_semi")), _sets, "s1 long, n long, shingles binary")
+
+    points = materialize(read(ids, _points, "s1 long, n long, m0 long, m1 long, point binary, wide binary"))
     # Blocks of classes that share one of two min-hashes.
-    mins = sets.select("s1", F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col("m0").alias("m")), F.struct(F.lit(1).alias("k"), F.col("m1").alias("m")))).alias("h")).select("s1", "h.k", "h.m")
+    mins = points.select("s1", F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col("m0").alias("m")), F.struct(F.lit(1).alias("k"), F.col("m1").alias("m")))).alias("h")).select("s1", "h.k", "h.m")
     bucket = mins.groupBy("k", "m").agg(F.count("*").alias("many")).where("many > 1")
-    blocks = mins.join(bucket, ["k", "m"]).withColumn("block", F.pmod(F.xxhash64("s1", "k"), F.ceil(F.col("many") / BLOCK)).cast("int"))
-    work = blocks.select("s1", "k", "m", "block").join(sets.select("s1", "n", "shingles"), "s1")
+    placed = mins.join(bucket, ["k", "m"]).withColumn("block", F.pmod(F.xxhash64("s1", "k"), F.ceil(F.col("many") / BLOCK)).cast("int"))
+    blocks = materialize(placed.select("s1", "k", "m", "block"))
+    work = sets_of(blocks.select("s1").distinct()).join(sendable(blocks), "s1")
     links = materialize(by_sorted_group(work, ["k", "m", "block"], _join_block, "a long, b long"))
     labels = materialize(connected_components(links))
     # Trees in the shards that still hold more than one component.
-    named = _named(labels, sets.select("s1"))
+    named = _named(labels, points.select("s1"))
     apart = shared.join(named, "s1")
     mixed = apart.groupBy("key").agg(F.count("*").alias("many"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
     parts = F.ceil(F.col("many") / CELL).cast("int")
@@ -345,22 +425,24 @@ def _links(spark: SparkSession, pair: DataFrame, classes: DataFrame, common: np.
     # A shard of more than CELL points is cut into parts, and each two parts are one cell.
     cells = placed.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).select(
         "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "s1", "c"
-    ).join(sets.select("s1", "n", "point"), "s1")
+    ).join(points.select("s1", "n", "point"), "s1")
     where = ["key", "x", "y"]
-    candidates = materialize(
-        cells.repartition(partitions(spark), *where).sortWithinPartitions(*where).mapInPandas(_candidates, "a long, b long").distinct()
-    )
+    near = cells.repartition(partitions(spark), *where).sortWithinPartitions(*where).mapInPandas(_candidates, "a long, b long").distinct()
+    left, right = (points.select(F.col("s1").alias(x), F.col("wide").alias(f"w{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
+    candidates = materialize(near.join(left, "a").join(right, "b").select("a", "b", "wa", "wb", "na", "nb").mapInArrow(_bounded, "a long, b long"))
     if candidates.isEmpty():
         return links
     # Of two large components the likeliest pairs are tried first; once joined, the rest need no look.
     for most in (64, None):
-        known = named if most else _named(labels, sets.select("s1"))
+        known = named if most else _named(labels, points.select("s1"))
         open_ = candidates.join(known.select(F.col("s1").alias("a"), F.col("c").alias("ca")), "a").join(known.select(F.col("s1").alias("b"), F.col("c").alias("cb")), "b").where("ca <> cb")
         if most:
             order = Window.partitionBy(F.least("ca", "cb"), F.greatest("ca", "cb")).orderBy(F.xxhash64("a", "b"), "a", "b")
             open_ = open_.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most)
+        open_ = materialize(open_.select("a", "b"))
+        sets = sets_of(open_.select(F.col("a").alias("s1")).union(open_.select("b")).distinct())
         left, right = (sets.select(F.col("s1").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
-        tried = open_.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
+        tried = open_.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
         found = materialize(tried.mapInArrow(_verify, "a long, b long"))
         links = links.union(found)
         if most:
