@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Forest, as_bytes, by_sorted_group, cuts, materialize, mix64, partitions, sendable, whole_groups
+from .common import Forest, as_bytes, by_sorted_group, cuts, materialize, mix64, partitions, sendable, slices, whole_groups
 from .components import connected_components
 
 WORDS = 5
@@ -53,7 +53,9 @@ _BYTE = mix64(np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 #: Bytes of text whose shingles are made together; a longer text is a batch of its own.
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 400_000
+#: Documents of a batch that are held as sets at once.
+BATCH_ROWS = 2_500
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -128,7 +130,7 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
 
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Set size and signature of each document, and the common shingles of each batch with their counts."""
-    for batch in batches:
+    for batch in slices(batches, 2 * BATCH_ROWS):
         sets = [*shingle_sets(as_bytes(batch.column(1)))]
         signs = [_signature(s) for s in sets]
         values, counts = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_counts=True)
@@ -166,7 +168,7 @@ def prefix(s: np.ndarray, common: np.ndarray) -> np.ndarray:
 def _keys(shared):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = shared.value
-        for batch in batches:
+        for batch in slices(batches, BATCH_ROWS):
             done: set[int] = set()
             keys, owners = [], []
             for s in shingle_sets(as_bytes(batch.column(0))):
@@ -191,7 +193,7 @@ def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Size, min-hashes and count vectors of each class that a task meets."""
     seeds = np.array([0x5851F42D4C957F2D, 0x14057B7EF767814F], np.uint64)
     done: set[int] = set()
-    for batch in batches:
+    for batch in slices(batches, BATCH_ROWS):
         rows = []
         for s in shingle_sets(as_bytes(batch.column(0))):
             if len(s) and (own := _signature(s)[0]) not in done:
@@ -206,7 +208,7 @@ def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The set of each class that a task meets."""
     done: set[int] = set()
-    for batch in batches:
+    for batch in slices(batches, BATCH_ROWS):
         rows = []
         for s in shingle_sets(as_bytes(batch.column(0))):
             if len(s) and (own := _signature(s)[0]) not in done:
