@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding by a global shuffle of distinct words.
 
-Encoding works on blocks of documents (about eight million characters). Every block is cut into
+Encoding works on blocks of documents (about four million characters). Every block is cut into
 pre-tokens with their positions, and each distinct pre-token ("word") of a block travels once, in
 packed rows keyed by a hash bucket of the word. The task of a bucket sees each word of the corpus
 that falls there, encodes it once, and sends the ids back to the blocks. There the ids are put at
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import partitions
 
 #: Characters in a block; a longer document is a block of its own.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 4_000_000
 
 _LETTER, _NUMBER, _SPACE, _OTHER = 1, 2, 3, 4
 
@@ -73,7 +73,9 @@ def cut(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
     n = len(code)
     if not n:
         return whole, np.zeros(0, np.int64), ends
-    kind = _classes()[code]
+    kind = np.empty(n, np.uint8)
+    for a in range(0, n, 1 << 18):  # in pieces, as a whole index would be widened to eight bytes a character
+        kind[a : a + (1 << 18)] = _classes()[code[a : a + (1 << 18)]]
     edge = np.zeros(n + 1, bool)
     edge[ends] = True
     start = edge[:n].copy()
@@ -128,8 +130,10 @@ def _words(texts: list[str]) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
     """The distinct words in order of appearance, the word number of each token, tokens by document."""
     whole, at, ends = cut(texts)
     number: dict[str, int] = {}
-    stops = np.append(at[1:], len(whole)).tolist()
-    seq = np.fromiter((number.setdefault(whole[a:b], len(number)) for a, b in zip(at.tolist(), stops)), np.uint32, len(at))
+    seq = np.empty(len(at), np.uint32)
+    for k in range(0, len(at), 1 << 16):
+        cuts = [*at[k : k + (1 << 16) + 1].tolist(), len(whole)][: min(1 << 16, len(at) - k) + 1]
+        seq[k : k + (1 << 16)] = [number.setdefault(whole[a:b], len(number)) for a, b in zip(cuts, cuts[1:])]
     return number, seq, np.diff(np.searchsorted(at, ends))
 
 
