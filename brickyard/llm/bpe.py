@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import partitions, slices
 
 #: Characters in a block; a longer document is a block of its own.
 BLOCK_CHARS = 4_000_000
@@ -51,11 +51,12 @@ def _encoder(path: str, pattern: str) -> tiktoken.Encoding:
 
 @lru_cache(1)
 def _classes() -> np.ndarray:
-    every = "".join(map(chr, (c for c in range(0x110000) if not 0xD800 <= c < 0xE000)))
+    codes = np.concatenate([np.arange(0xD800, dtype="<u4"), np.arange(0xE000, 0x110000, dtype="<u4")])
+    every = codes.tobytes().decode("utf-32-le")
     out = np.full(0x110000, _OTHER, np.uint8)
     for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE, r"\s+")):
         for m in regex.finditer(pattern, every):
-            out[[ord(c) for c in m[0]]] = kind
+            out[codes[m.start() : m.end()]] = kind
     return out
 
 
@@ -111,7 +112,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list
     ids: list = []
     texts: list[str] = []
     chars = 0
-    for batch in batches:
+    for batch in slices(batches, 1_000):
         if block is None and len(batch):
             block = batch.column(2)[0].as_py() << 32
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
