@@ -296,7 +296,10 @@ def test_warc_round_trip_rejects_records_in_payloads(spark, tmp_path):
     assert warc.round_trip(pages.limit(0)).collect() == []
 
 
-def test_warc_read_splits_do_not_matter(spark, tmp_path):
+@pytest.mark.parametrize("most", [0, 1_000])
+def test_warc_read_splits_do_not_matter(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(warc, "SEND_SPLITS", most)
+    monkeypatch.setattr(warc, "SEND_PAYLOADS", most)
     pages = frame(spark, [(k, "u", f"payload {k} WARC/1.1\r\nContent-Length: 1\r\n\r\n" * 20) for k in range(50)], "page_id long, url string, html string")
     warc.write(pages, str(tmp_path / "w"))
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
