@@ -28,7 +28,7 @@ _QUERIES = {
     "floor_trend": "SELECT round(regr_slope(price_m2, floor / floors), 4) AS slope, round(regr_intercept(price_m2, floor / floors), 4) AS intercept, count(*) AS n FROM v WHERE floor > 0 AND floors > 0 HAVING count(*) > 2",
     "floor_trend_line": """SELECT CAST(i AS INTEGER) AS i, round(i / 99.0::DOUBLE, 6) AS x, round(s * (i / 99.0::DOUBLE) + c, 3) AS y FROM (
       SELECT round(regr_slope(price_m2, floor / floors), 4) AS s, round(regr_intercept(price_m2, floor / floors), 4) AS c FROM v WHERE floor > 0 AND floors > 0 HAVING count(*) > 2), range(100) t(i)""",
-    "distance_trend": "SELECT city, round(regr_slope(price_m2, km_center), 4) AS slope, round(regr_intercept(price_m2, km_center), 4) AS intercept, round(corr(km_center, price_m2), 4) AS r, count(*) AS n FROM v WHERE km_center IS NOT NULL GROUP BY city HAVING count(*) > 3",
+    "distance_trend": "SELECT city, CASE WHEN stddev_pop(km_center) > 0 THEN round(regr_slope(price_m2, km_center), 4) END AS slope, round(regr_intercept(price_m2, km_center), 4) AS intercept, CASE WHEN stddev_pop(km_center) > 0 THEN round(corr(km_center, price_m2), 4) END AS r, count(*) AS n FROM v WHERE km_center IS NOT NULL GROUP BY city HAVING count(*) > 3",
     "district_ranking": """SELECT city, district, round(m, 4) AS median_m2, n, m = max(m) OVER (PARTITION BY city) AS highest, m = min(m) OVER (PARTITION BY city) AS lowest
       FROM (SELECT city, district, median(price_m2) AS m, count(*) AS n FROM v WHERE district <> '' GROUP BY city, district HAVING count(*) >= 2)""",
     "district_variability": "SELECT district, round(avg(price_m2), 4) AS mean_m2, round(stddev_pop(price_m2), 4) AS std_m2, count(*) AS n FROM v WHERE district <> '' GROUP BY district HAVING count(*) >= 2",
