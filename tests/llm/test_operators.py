@@ -210,6 +210,19 @@ def test_repeated_passages(spark, tmp_path):
     assert substring.near_passages(documents(spark, [], tmp_path)).collect() == []
 
 
+def test_passages_around_a_common_sentence_meet(spark, tmp_path):
+    """A passage that is mostly a sentence of many documents is found although other documents lie between."""
+    draw = np.random.default_rng(8)
+    text = lambda n: " ".join(f"v{k}" for k in draw.integers(0, 50_000, n))
+    common = text(30)
+    around = [(text(10), text(10)) for _ in range(20)]
+    texts = [f"{text(40)} {a} {common} {b} {text(40)}" for a, b in around]
+    texts += [f"{text(40)} {text(10)} {common} {text(10)} {text(40)}" for _ in range(40)]
+    texts += [f"{text(40)} {a} {common} {b} {text(40)}" for a, b in around]
+    got = {(r.doc_id, r.match_id, r.start_word, r.n_words) for r in substring.near_passages(documents(spark, texts, tmp_path)).collect()}
+    assert got == {(60 + k, k, 40, 50) for k in range(20)}
+
+
 def test_compact_windows_hold_every_minimum():
     h = np.random.default_rng(7).integers(0, 1 << 62, 60).astype(np.uint64)
     windows = substring.compact_windows(h, 10)
