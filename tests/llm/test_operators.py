@@ -223,6 +223,15 @@ def test_passages_around_a_common_sentence_meet(spark, tmp_path):
     assert got == {(60 + k, k, 40, 50) for k in range(20)}
 
 
+def test_passages_with_inserted_and_deleted_words(spark, tmp_path):
+    draw = np.random.default_rng(9)
+    text = lambda n: [f"v{k}" for k in draw.integers(0, 50_000, n)]
+    first, second = text(60), text(98)
+    texts = [text(30) + first + text(30), text(30) + second + text(30), first[:30] + ["new"] + first[30:], text(20) + second[:49] + second[50:]]
+    got = {(r.doc_id, r.match_id, r.start_word, r.n_words) for r in substring.near_passages(documents(spark, [" ".join(t) for t in texts], tmp_path)).collect()}
+    assert got == {(2, 0, 0, 61), (3, 1, 20, 97)}
+
+
 def test_compact_windows_hold_every_minimum():
     h = np.random.default_rng(7).integers(0, 1 << 62, 60).astype(np.uint64)
     windows = substring.compact_windows(h, 10)
