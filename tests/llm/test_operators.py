@@ -232,6 +232,25 @@ def test_passages_with_inserted_and_deleted_words(spark, tmp_path):
     assert got == {(2, 0, 0, 61), (3, 1, 20, 97)}
 
 
+def test_near_passages_against_brute_force(spark, tmp_path):
+    """Every edited passage whose shingles, by brute force, are 0.75 similar or more is found."""
+    draw = np.random.default_rng(10)
+    text = lambda n: [f"v{k}" for k in draw.integers(0, 50_000, n)]
+    shingles = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    texts, want = [], set()
+    for _ in range(120):
+        passage = text(int(draw.integers(56, 140)))
+        copy = list(passage)
+        for k in sorted(draw.integers(6, len(passage) - 6, int(draw.integers(1, 5))), reverse=True):
+            copy[k : k + int(draw.integers(0, 2))] = text(int(draw.integers(0, 2)))
+        x, y = shingles(passage), shingles(copy)
+        if min(len(passage), len(copy)) >= 50 and len(x & y) >= 0.75 * len(x | y):
+            want.add((len(texts) + 1, len(texts)))
+        texts += [text(20) + passage + text(20), text(30) + copy + text(10)]
+    got = {(r.doc_id, r.match_id) for r in substring.near_passages(documents(spark, [" ".join(t) for t in texts], tmp_path)).collect()}
+    assert len(want) > 60 and want <= got
+
+
 def test_compact_windows_hold_every_minimum():
     h = np.random.default_rng(7).integers(0, 1 << 62, 60).astype(np.uint64)
     windows = substring.compact_windows(h, 10)
