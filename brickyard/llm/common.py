@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -22,23 +23,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder under ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where the setting is absent (tests, one machine) a temporary folder is set and used.
+    Where the setting is absent in local mode (tests) a temporary folder is set and used; on a
+    cluster its absence raises.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="brickyard-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/brickyard/{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
+#: Bytes of an Arrow batch that a Python task gets at most (a longer row is a batch of its own).
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of Python tasks by bytes, as rows here may be long texts or packed blocks.
+
+    Plans read the session's setting when they run, so it stays as it is set here.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+#: Frames written inside each open ``scratch``, innermost last.
+_WRITTEN: list[list[DataFrame]] = []
+
+
+def materialize(df: DataFrame, keep: bool = False) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
 
-    Unlike localCheckpoint the files outlive any executor, and later scans prune columns.
+    Unlike localCheckpoint the files outlive any executor, and later scans prune columns. Inside ``scratch`` the files go
+    when it ends, but for those of frames to ``keep``.
     """
     path = shared_dir(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    if _WRITTEN and not keep:
+        _WRITTEN[-1].append(out)
+    return out
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Delete what is materialized inside, once nothing inside can read it again."""
+    _WRITTEN.append([])
+    try:
+        yield
+    finally:
+        for df in _WRITTEN.pop():
+            drop(df)
 
 
 def drop(df: DataFrame) -> None:
@@ -111,10 +146,19 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def whole_groups(frames: Iterator[pd.DataFrame], keys: list[str], room: int = 200_000) -> Iterator[pd.DataFrame]:
-    """Cut a partition sorted by ``keys`` into frames of whole groups, of about ``room`` rows at least.
+def _weight(frame: pd.DataFrame) -> int:
+    """About how many bytes a frame holds; only columns of bytes are measured, others count 16 a cell."""
+    out = 16 * frame.size
+    for c in frame.columns:
+        if frame[c].dtype == object and isinstance(frame[c].iloc[0], (bytes, bytearray)):
+            out += sum(map(len, frame[c]))
+    return out
+
+
+def whole_groups(frames: Iterator[pd.DataFrame], keys: list[str], room: int = 16 << 20) -> Iterator[pd.DataFrame]:
+    """Cut a partition sorted by ``keys`` into frames of whole groups, of about ``room`` bytes at least.
 
-    A group is never split between two frames; memory is bounded by ``room`` plus the largest group.
+    A group is never split between two frames; memory is bounded by ``room``, a batch and the largest group.
     """
     held: list[pd.DataFrame] = []
     n = 0
@@ -122,7 +166,7 @@ def whole_groups(frames: Iterator[pd.DataFrame], keys: list[str], room: int = 20
         if frame.empty:
             continue
         held.append(frame)
-        n += len(frame)
+        n += _weight(frame)
         if n < room:
             continue
         whole = pd.concat(held, ignore_index=True)
@@ -133,7 +177,7 @@ def whole_groups(frames: Iterator[pd.DataFrame], keys: list[str], room: int = 20
         if cut:
             yield whole.iloc[:cut]
             whole = whole.iloc[cut:]
-        held, n = [whole], len(whole)
+        held, n = [whole], _weight(whole)
     if held:
         yield pd.concat(held, ignore_index=True)
 
@@ -147,6 +191,15 @@ def cuts(frame: pd.DataFrame, keys: list[str]) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(change), [len(frame)]])
 
 
+def dealt(df: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """``df`` with the rows of equal ``keys`` in one partition, sorted by ``keys`` or ``order``.
+
+    Rows are dealt by a hash of the keys: a repartition by the keys themselves is taken out where a join below has
+    dealt them so already, and adaptive execution may then split that join's partitions.
+    """
+    return df.repartition(partitions(df.sparkSession), F.xxhash64(*keys)).sortWithinPartitions(*(order or keys))
+
+
 def by_sorted_group(df: DataFrame, keys: list[str], function: Callable[[pd.DataFrame], pd.DataFrame | None], schema: str) -> DataFrame:
     """Apply ``function`` to each group of ``keys``, many small groups to a batch.
 
@@ -161,8 +214,7 @@ def by_sorted_group(df: DataFrame, keys: list[str], function: Callable[[pd.DataF
             if out:
                 yield pd.concat(out, ignore_index=True)
 
-    n = partitions(df.sparkSession)
-    return df.repartition(n, *keys).sortWithinPartitions(*keys).mapInPandas(work, schema)
+    return dealt(df, keys).mapInPandas(work, schema)
 
 
 class Forest:

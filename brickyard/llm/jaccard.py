@@ -15,7 +15,9 @@ else. Shingles that no other set has (nearly all) are gone after the first shuff
 
 Copies are handled before pairs: equal sets are one class from the start, and classes whose
 min-hashes agree are compared in blocks of bounded size and joined. The trees then look only for
-links between different components, which is all that is left to find.
+links between different components, which is all that is left to find. They are searched twice: at
+first each component of a shard names its best pair only, so that what leaves a shard grows with
+its members; these are verified and joined, and then every pair of what is still apart is tried.
 """
 
 from __future__ import annotations
@@ -29,19 +31,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Forest, as_bytes, by_sorted_group, cuts, materialize, mix64, partitions, sendable, slices, whole_groups
+from .common import Forest, as_bytes, by_sorted_group, cuts, dealt, materialize, mix64, scratch, sendable, slices, small_batches, whole_groups
 from .components import connected_components
 
 WORDS = 5
 #: Hash groups of shingles, the coordinates of a point.
-GROUPS = 64
-#: Finer groups, for the bound that pairs from the trees must pass before their sets are read.
-WIDE = 1_024
+GROUPS = 1_024
 #: Common shingles that come last in the order, at most; the driver holds them, the tasks a table of flags.
 COMMON = 262_144
 #: Sets in a block of the comparison of min-hash classes, and points of a shard handled together.
 BLOCK, CELL = 384, 4_096
 LEAF = 16
+#: Pairs of two components that are compared first; once joined, the rest need no look.
+TRIES = 64
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -184,9 +186,9 @@ def _keys(shared):
     return work
 
 
-def point(s: np.ndarray, groups: int) -> bytes:
+def point(s: np.ndarray) -> bytes:
     """Counts of a set's shingles by hash group, one byte each; 255 stands for any larger count."""
-    return np.minimum(np.bincount((s >> np.uint64(40)) % np.uint64(groups), minlength=groups), 255).astype(np.uint8).tobytes()
+    return np.minimum(np.bincount((s >> np.uint64(40)) % np.uint64(GROUPS), minlength=GROUPS), 255).astype(np.uint8).tobytes()
 
 
 def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,10 +201,10 @@ def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(s) and (own := _signature(s)[0]) not in done:
                 done.add(own)
                 mins = (int(mix64(s ^ k).min().view(np.int64)) for k in seeds)
-                rows.append((own, len(s), *mins, point(s, GROUPS), point(s, WIDE)))
-        columns = [*zip(*rows)] if rows else [()] * 6
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-        yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], ["s1", "n", "m0", "m1", "point", "wide"])
+                rows.append((own, len(s), *mins, point(s)))
+        columns = [*zip(*rows)] if rows else [()] * 5
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], ["s1", "n", "m0", "m1", "point"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,12 +230,12 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     column, owner = number[at[keep]], owner[keep]
     order = np.argsort(column, kind="stable")
     column, owner = column[order], owner[order]
-    out = np.zeros((len(sets), len(sets)), np.float32)
+    out = np.zeros((len(sets), len(sets)), np.int64)
     for a in range(0, int(shared.sum()), 8192):
         i, j = np.searchsorted(column, [a, a + 8192])
         m = np.zeros((len(sets), 8192), np.float32)
         m[owner[i:j], column[i:j] - a] = 1
-        out += m @ m.T
+        out += (m @ m.T).astype(np.int64)
     return out
 
 
@@ -253,17 +255,17 @@ def _join_block(frame: pd.DataFrame) -> pd.DataFrame | None:
 
 
 class CountTree:
-    """A packed R-tree over count vectors; nodes keep their upper corners and their smallest set size."""
+    """A packed R-tree over count vectors; nodes keep their upper corners, smallest set size and first and last component."""
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray):
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, of: np.ndarray):
         self.order = self._sorted(points, sizes)
-        self.points, self.sizes = points[self.order], sizes[self.order]
+        self.points, self.sizes, self.of = points[self.order], sizes[self.order], of[self.order]
         self.levels = []
-        top, least = self.points, self.sizes
-        while len(top) > LEAF:
-            cuts = np.arange(0, len(top), LEAF)
-            top, least = np.maximum.reduceat(top, cuts), np.minimum.reduceat(least, cuts)
-            self.levels.append((top, least))
+        level = (self.points, self.sizes, self.of, self.of)
+        while len(level[0]) > LEAF:
+            at = np.arange(0, len(level[0]), LEAF)
+            level = tuple(f.reduceat(x, at) for f, x in zip((np.maximum, np.minimum, np.minimum, np.maximum), level))
+            self.levels.append(level)
 
     @staticmethod
     def _sorted(points: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -274,69 +276,98 @@ class CountTree:
             if len(part) <= LEAF:
                 out.append(part)
                 continue
-            own = points[part].astype(np.int32)
+            own = points[part]
             axis = int(np.argmax(own.max(axis=0) - own.min(axis=0)))
             part = part[np.argsort(own[:, axis], kind="stable")]
             half = max(LEAF, len(part) // 2 // LEAF * LEAF)
             todo += [part[half:], part[:half]]
         return np.concatenate(out)
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """All pairs (each once) of points whose bound lets the sets be similar enough."""
-        out = []
-        sizes = [len(self.points), *(len(top) for top, _ in self.levels)]
-        for a in range(0, len(self.points), 1024):
-            q = np.arange(a, min(a + 1024, len(self.points)))
-            i, node = np.repeat(q, sizes[-1]), np.tile(np.arange(sizes[-1]), len(q))
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """All pairs (each once) of points of different components that may link, with their bounds, some at a time."""
+        count = [len(self.points), *(len(level[0]) for level in self.levels)]
+        for a in range(0, len(self.points), 256):
+            q = np.arange(a, min(a + 256, len(self.points)))
+            i, node = np.repeat(q, count[-1]), np.tile(np.arange(count[-1]), len(q))
             for k in range(len(self.levels) - 1, -1, -1):
-                top, least = self.levels[k]
-                good = may_link(self.points[i], top[node], self.sizes[i], least[node])
+                top, least, low, high = self.levels[k]
+                good = ((low[node] != high[node]) | (low[node] != self.of[i])) & ((node + 1) * LEAF ** (k + 1) > i)
+                i, node = i[good], node[good]
+                good = bounds(self.points, i, top, node, self.sizes[i] + least[node]) >= 0
                 i, node = np.repeat(i[good], LEAF), (node[good, None] * LEAF + np.arange(LEAF)).reshape(-1)
-                inside = node < sizes[k]
+                inside = node < count[k]
                 i, node = i[inside], node[inside]
-            later = node > i
-            i, node = i[later], node[later]
-            good = may_link(self.points[i], self.points[node], self.sizes[i], self.sizes[node])
-            out.append((i[good], node[good]))
-        return self.order[np.concatenate([x for x, _ in out])], self.order[np.concatenate([y for _, y in out])]
+            good = (node > i) & (self.of[i] != self.of[node])
+            i, node = i[good], node[good]
+            bound = bounds(self.points, i, self.points, node, self.sizes[i] + self.sizes[node])
+            good = bound >= 0
+            yield self.order[i[good]], self.order[node[good]], bound[good]
 
 
-def may_link(p: np.ndarray, q: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Whether sets of sizes n and m (m: at least) can have similarity 0.75 by their summed minima.
+def bounds(p: np.ndarray, i: np.ndarray, q: np.ndarray, j: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Summed minima of p[i] and q[j] as a share of ``total``, the sets' sizes; -1 where no similarity of 0.75 is possible.
 
     A count of 255 stands for any larger one, so where both are 255 nothing is bounded.
     """
-    out = np.empty(len(p), bool)
-    for a in range(0, len(p), 65_536):
-        low = np.minimum(p[a : a + 65_536], q[a : a + 65_536])
-        bound = low.sum(axis=1, dtype=np.int64)
-        out[a : a + 65_536] = (7 * bound >= 3 * (n[a : a + 65_536] + m[a : a + 65_536])) | (low == 255).any(axis=1)
+    out = np.empty(len(i))
+    for a in range(0, len(i), 8_192):
+        low = np.minimum(p[i[a : a + 8_192]], q[j[a : a + 8_192]])
+        whole = total[a : a + 8_192]
+        bound = np.where((low == 255).any(axis=1), whole, low.sum(axis=1, dtype=np.int64))
+        out[a : a + 8_192] = np.where(7 * bound >= 3 * whole, bound / whole, -1)
     return out
 
 
-def _candidates(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of different components within each shard that the count vectors do not rule out."""
-    for f in whole_groups(frames, ["key", "x", "y"]):
-        at = cuts(f, ["key", "x", "y"])
-        size = np.diff(at)
-        shard = np.repeat(np.arange(len(size)), size)
-        points = np.frombuffer(b"".join(f.point), np.uint8).reshape(-1, GROUPS)
-        n, c, s = f.n.to_numpy(), f.c.to_numpy(), f.s1.to_numpy()
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-        for k in np.flatnonzero(size > LEAF).tolist():
-            here = slice(at[k], at[k + 1])
-            i, j = (x + at[k] for x in CountTree(points[here], n[here]).pairs())
-            differ = c[i] != c[j]
-            out.append((s[i[differ]], s[j[differ]]))
-        # A shard of a leaf or less is compared as one; all such shards of the frame together.
-        small = size[shard] <= LEAF
+def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pd.DataFrame:
+    """Distinct pairs, the lesser first."""
+    both = np.sort(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=1)
+    both = np.unique(both, axis=0)
+    return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
+
+
+def _near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs of different components in shards of a leaf or less whose sizes let them link."""
+    for f in whole_groups(frames, ["key"]):
+        key, n, c, s = (f[x].to_numpy() for x in ("key", "n", "c", "s1"))
+        a, b = [s[:0]], [s[:0]]
         for step in range(1, LEAF):
-            i = np.flatnonzero(small[step:] & (shard[step:] == shard[:-step]) & (c[step:] != c[:-step]))
-            i = i[may_link(points[i], points[i + step], n[i], n[i + step])]
-            out.append((s[i], s[i + step]))
-        pairs = np.stack([np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])], 1)
-        pairs = np.unique(np.sort(pairs, axis=1), axis=0)
-        yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+            x, y = n[step:], n[:-step]
+            i = np.flatnonzero((key[step:] == key[:-step]) & (c[step:] != c[:-step]) & (4 * np.minimum(x, y) >= 3 * np.maximum(x, y)))
+            a.append(s[i])
+            b.append(s[i + step])
+        yield _pairs(a, b)
+
+
+def _candidates(all_pairs: bool):
+    """Pairs of different components in each larger shard that the tree leaves: of each component the best one, or all."""
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in whole_groups(frames, ["key", "x", "y"]):
+            at = cuts(f, ["key", "x", "y"]).tolist()
+            points = np.frombuffer(b"".join(f.point), np.uint8).reshape(-1, GROUPS)
+            n, c, s = f.n.to_numpy(), f.c.to_numpy(), f.s1.to_numpy()
+            first, second = [s[:0]], [s[:0]]
+            for a, b in zip(at, at[1:]):
+                _, of = np.unique(c[a:b], return_inverse=True)
+                best: dict[int, tuple[float, int, int]] = {}
+                for i, j, bound in CountTree(points[a:b], n[a:b], of).pairs():
+                    if all_pairs:
+                        first.append(s[a + i])
+                        second.append(s[a + j])
+                        continue
+                    owner, x, y, share = np.concatenate([of[i], of[j]]), np.tile(i, 2), np.tile(j, 2), np.tile(bound, 2)
+                    order = np.lexsort((-share, owner))
+                    top = order[np.flatnonzero(np.diff(owner[order], prepend=-1))]
+                    for o, e, k, m in zip(owner[top].tolist(), share[top].tolist(), x[top].tolist(), y[top].tolist()):
+                        if o not in best or e > best[o][0]:
+                            best[o] = (e, k, m)
+                if best:
+                    _, i, j = (np.array(v) for v in zip(*best.values()))
+                    first.append(s[a + i])
+                    second.append(s[a + j])
+            yield _pairs(first, second)
+
+    return work
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,9 +383,10 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, WIDE) for c in batch.columns[2:4])
+        x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, GROUPS) for c in batch.columns[2:4])
         n, m = (c.to_numpy(zero_copy_only=False) for c in batch.columns[4:6])
-        yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(may_link(x, y, n, m)))
+        at = np.arange(len(x))
+        yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(bounds(x, at, y, at, n + m) >= 0))
 
 
 def _named(labels: DataFrame | None, nodes: DataFrame) -> DataFrame:
@@ -375,17 +407,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hashes of shingles; no pair is left out by sampling, and no group of copies is listed in pairs.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     pair = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    first = materialize(pair.mapInArrow(_first_pass, "id long, n long, s1 long, s2 long, shingle long, times long"))
+    first = materialize(pair.mapInArrow(_first_pass, "id long, n long, s1 long, s2 long, shingle long, times long"), keep=True)
     rows = first.where("s1 is not null").select("id", "n", "s1", "s2")
     often = first.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times"))
     common = often.where("times >= 6").orderBy(F.desc("times"), "shingle").limit(COMMON).select("shingle").toArrow()
     last = flags(common.column(0).to_numpy().astype(np.int64).view(np.uint64))
     classes = rows.where("n > 0 and id is not null").groupBy("s1", "s2").agg(F.min("id").alias("rep"))
-
-    links = _links(spark, pair, classes, last)
-    component = connected_components(links)
-    of_class = materialize(_named(component, classes.select("s1", "s2", "rep")).withColumn("component_id", F.min("rep").over(Window.partitionBy("c"))).select("s1", "s2", "component_id"))
+    with scratch():
+        component = connected_components(_links(spark, pair, classes, last))
+        named = _named(component, classes.select("s1", "s2", "rep")).withColumn("component_id", F.min("rep").over(Window.partitionBy("c")))
+        of_class = materialize(named.select("s1", "s2", "component_id"), keep=True)
     out = rows.join(of_class, ["s1", "s2"], "left")
     lone = F.col("n").isNull() | (F.col("n") == 0)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(lone, F.col("id")).when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
@@ -409,44 +442,90 @@ def _links(spark: SparkSession, pair: DataFrame, classes: DataFrame, common: np.
     def sets_of(some: DataFrame) -> DataFrame:
         return read(materialize(ids.join(some, "s1", "left_semi")), _sets, "s1 long, n long, shingles binary")
 
-    points = materialize(read(ids, _points, "s1 long, n long, m0 long, m1 long, point binary, wide binary"))
+    points = materialize(read(ids, _points, "s1 long, n long, m0 long, m1 long, point binary"))
     # Blocks of classes that share one of two min-hashes.
     mins = points.select("s1", F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col("m0").alias("m")), F.struct(F.lit(1).alias("k"), F.col("m1").alias("m")))).alias("h")).select("s1", "h.k", "h.m")
-    bucket = mins.groupBy("k", "m").agg(F.count("*").alias("many")).where("many > 1")
+    bucket = sendable(materialize(mins.groupBy("k", "m").agg(F.count("*").alias("many")).where("many > 1")))
     placed = mins.join(bucket, ["k", "m"]).withColumn("block", F.pmod(F.xxhash64("s1", "k"), F.ceil(F.col("many") / BLOCK)).cast("int"))
     blocks = materialize(placed.select("s1", "k", "m", "block"))
     work = sets_of(blocks.select("s1").distinct()).join(sendable(blocks), "s1")
     links = materialize(by_sorted_group(work, ["k", "m", "block"], _join_block, "a long, b long"))
-    labels = materialize(connected_components(links))
-    # Trees in the shards that still hold more than one component.
-    named = _named(labels, points.select("s1"))
-    apart = shared.join(named, "s1")
-    mixed = apart.groupBy("key").agg(F.count("*").alias("many"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
-    parts = F.ceil(F.col("many") / CELL).cast("int")
-    placed = apart.join(mixed.select("key", parts.alias("parts")), "key").withColumn("own", F.pmod(F.xxhash64("s1"), F.col("parts")).cast("int"))
-    # A shard of more than CELL points is cut into parts, and each two parts are one cell.
-    cells = placed.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).select(
-        "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "s1", "c"
-    ).join(points.select("s1", "n", "point"), "s1")
-    where = ["key", "x", "y"]
-    near = cells.repartition(partitions(spark), *where).sortWithinPartitions(*where).mapInPandas(_candidates, "a long, b long").distinct()
-    left, right = (points.select(F.col("s1").alias(x), F.col("wide").alias(f"w{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
-    candidates = materialize(near.join(left, "a").join(right, "b").select("a", "b", "wa", "wb", "na", "nb").mapInArrow(_bounded, "a long, b long"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b), written in the shared folder, that link."""
+        sets = sets_of(pairs.select(F.col("a").alias("s1")).union(pairs.select("b")).distinct())
+        left, right = (sets.select(F.col("s1").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
+        return materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(_verify, "a long, b long"))
+
+    def named() -> DataFrame:
+        return materialize(_named(connected_components(links), points.select("s1", "n")))
+
+    # Shards that hold more than one component. Those of two are a pair; those of a leaf or less are compared as one; the others get a tree.
+    now = named()
+    apart, mixed = _mixed(shared, now)
+    two = mixed.where("many = 2").select(F.col("first.s1").alias("a"), F.col("last.s1").alias("b"), F.col("first.n").alias("na"), F.col("last.n").alias("nb"))
+    two = two.where("4 * least(na, nb) >= 3 * greatest(na, nb)").select("a", "b")
+    few = apart.join(mixed.where(F.col("many").between(3, LEAF)).select("key"), "key").select("key", "s1", "n", "c")
+    few = dealt(few, ["key"]).mapInPandas(_near, "a long, b long")
+    near = two.union(few).union(_searched(_cells(apart, mixed), points, False)).distinct()
+    left, right = (points.select(F.col("s1").alias(x), F.col("point").alias(f"p{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
+    candidates = materialize(near.join(left, "a").join(right, "b").select("a", "b", "pa", "pb", "na", "nb").mapInArrow(_bounded, "a long, b long"))
+    if not candidates.isEmpty():
+        links = links.union(verified(candidates))
+        now = named()
+    # All that is still apart in the larger shards.
+    larger = materialize(mixed.where(F.col("many") > LEAF).select("key"))
+    if larger.isEmpty():
+        return links
+    apart, mixed = _mixed(shared.join(sendable(larger), "key"), now)
+    candidates = materialize(_searched(_cells(apart, mixed), points, True).distinct())
     if candidates.isEmpty():
         return links
     # Of two large components the likeliest pairs are tried first; once joined, the rest need no look.
-    for most in (64, None):
-        known = named if most else _named(labels, points.select("s1"))
-        open_ = candidates.join(known.select(F.col("s1").alias("a"), F.col("c").alias("ca")), "a").join(known.select(F.col("s1").alias("b"), F.col("c").alias("cb")), "b").where("ca <> cb")
-        if most:
-            order = Window.partitionBy(F.least("ca", "cb"), F.greatest("ca", "cb")).orderBy(F.xxhash64("a", "b"), "a", "b")
-            open_ = open_.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most)
-        open_ = materialize(open_.select("a", "b"))
-        sets = sets_of(open_.select(F.col("a").alias("s1")).union(open_.select("b")).distinct())
-        left, right = (sets.select(F.col("s1").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
-        tried = open_.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
-        found = materialize(tried.mapInArrow(_verify, "a long, b long"))
-        links = links.union(found)
-        if most:
-            labels = materialize(connected_components(links))
-    return links
+    order = Window.partitionBy(F.least("ca", "cb"), F.greatest("ca", "cb")).orderBy(F.xxhash64("a", "b"), "a", "b")
+
+    def open_(pairs: DataFrame) -> DataFrame:
+        known = [now.select(F.col("s1").alias(x), F.col("c").alias(f"c{x}")) for x in "ab"]
+        return pairs.join(known[0], "a").join(known[1], "b").where("ca <> cb")
+
+    tried = materialize(open_(candidates).withColumn("k", F.row_number().over(order)).select("a", "b", "k"))
+    links = links.union(verified(tried.where(F.col("k") <= TRIES).select("a", "b")))
+    rest = tried.where(F.col("k") > TRIES).select("a", "b")
+    if rest.isEmpty():
+        return links
+    now = named()
+    return links.union(verified(materialize(open_(rest).select("a", "b"))))
+
+
+def _mixed(shared: DataFrame, named: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of the shards (key, s1, n, c), and of each shard with more than one component its size and two of its rows."""
+    apart = shared.join(named, "s1")
+    one = F.struct("s1", "n")
+    shards = apart.groupBy("key").agg(F.count("*").alias("many"), F.min("c").alias("low"), F.max("c").alias("high"), F.min(one).alias("first"), F.max(one).alias("last"))
+    return apart, materialize(shards.where("low < high"))
+
+
+def _cells(apart: DataFrame, mixed: DataFrame) -> DataFrame:
+    """(key, x, y, s1, n, c): the cells in which the members of the larger mixed shards meet.
+
+    A shard of at most CELL members is one cell. A larger one is cut into bands of set sizes, each a third above the one before, and bands into parts
+    of about CELL members; parts of the same or of neighbouring bands meet, as sets of others are of too different sizes to link.
+    """
+    large = apart.join(mixed.where(F.col("many") > LEAF).select("key", "many"), "key")
+    whole = large.where(F.col("many") <= CELL).select("key", F.lit("").alias("x"), F.lit("").alias("y"), "s1", "n", "c")
+    if mixed.where(F.col("many") > CELL).isEmpty():
+        return whole
+    # A hundredth more than a third, so that rounding keeps sets that may link in neighbouring bands.
+    hot = large.where(F.col("many") > CELL).withColumn("band", F.floor(F.log("n") / F.log(F.lit(4 / 3 + 0.01))).cast("int"))
+    bands = materialize(hot.groupBy("key", "band").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts")))
+    slots = bands.select("key", F.col("band").alias("other_band"), F.explode(F.expr("sequence(0, parts - 1)")).alias("other_part"))
+    own = hot.join(bands, ["key", "band"]).withColumn("part", F.pmod(F.xxhash64("s1"), F.col("parts")).cast("int"))
+    met = own.join(slots, "key").where("abs(band - other_band) <= 1")
+    a, b = F.format_string("%06d:%06d", "band", "part"), F.format_string("%06d:%06d", "other_band", "other_part")
+    return whole.union(met.select("key", F.least(a, b).alias("x"), F.greatest(a, b).alias("y"), "s1", "n", "c"))
+
+
+def _searched(cells: DataFrame, points: DataFrame, all_pairs: bool) -> DataFrame:
+    """Pairs (a, b) that the trees of the cells leave."""
+    full = cells.join(points.select("s1", "point"), "s1")
+    return dealt(full, ["key", "x", "y"]).mapInPandas(_candidates(all_pairs), "a long, b long")
