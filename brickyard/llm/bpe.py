@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding by a global shuffle of distinct words.
 
-Encoding works on blocks of documents (about four million characters). Every block is cut into
+Encoding works on blocks of documents (about one and a half million characters). Every block is cut into
 pre-tokens with their positions, and each distinct pre-token ("word") of a block travels once, in
 packed rows keyed by a hash bucket of the word. The task of a bucket sees each word of the corpus
 that falls there, encodes it once, and sends the ids back to the blocks. There the ids are put at
@@ -8,8 +8,9 @@ the positions the words were taken from. Rows that travel: the words of each blo
 one sequence of word numbers for each block; never a row for each token.
 
 A block is a run of rows of an input partition, so the input must come in the same order when a
-task is repeated: a table scan does, and anything else should be written first. A checksum of each
-block's words is compared when it is put together; a difference raises, it never gives wrong ids.
+task is repeated: a table scan does, and anything else should be written first. A checksum of the
+words of each block and bucket, made where they were encoded, is compared with that of the words
+whose positions were taken; a difference raises, it never gives wrong ids.
 """
 
 from __future__ import annotations
@@ -29,10 +30,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, slices
+from .common import partitions, slices, small_batches
 
 #: Characters in a block; a longer document is a block of its own.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 1_500_000
+#: Bytes of words that a task of a bucket remembers with their ids; beyond it starts anew.
+KNOWN_BYTES = 16_000_000
 
 _LETTER, _NUMBER, _SPACE, _OTHER = 1, 2, 3, 4
 
@@ -138,26 +141,52 @@ def _words(texts: list[str]) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
     return number, seq, np.diff(np.searchsorted(at, ends))
 
 
-def _checksum(words: list[bytes]) -> int:
-    return zlib.crc32(b"\0".join(words)) << 24 ^ len(words)
+def _checksum(crcs: np.ndarray) -> int:
+    """Of words in order, by their own checksums (unsigned 32-bit)."""
+    return zlib.crc32(crcs.tobytes()) << 24 ^ len(crcs)
 
 
-def _pack(values: list[bytes]) -> bytes:
-    sizes = np.fromiter(map(len, values), np.uint32, len(values))
-    return zstandard.compress(len(values).to_bytes(4, "little") + sizes.tobytes() + b"".join(values), 3)
+def _crcs(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
 
 
-def _unpack(data: bytes) -> list[bytes]:
+def _planes(values: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers by byte, all lowest bytes first, which compresses well."""
+    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _numbers(data: bytes, n: int, at: int) -> np.ndarray:
+    """The n numbers whose planes start at ``at``."""
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, 4 * n, at).reshape(4, n).T).view("<u4").reshape(-1)
+
+
+def _pack_words(words: list[bytes]) -> bytes:
+    sizes = np.fromiter(map(len, words), np.uint32, len(words))
+    return zstandard.compress(len(words).to_bytes(4, "little") + _planes(sizes) + b"".join(words), 3)
+
+
+def _unpack_words(data: bytes) -> list[bytes]:
     raw = zstandard.decompress(data)
     n = int.from_bytes(raw[:4], "little")
-    ends = (4 + 4 * n + np.cumsum(np.frombuffer(raw, np.uint32, n, 4), dtype=np.int64)).tolist()
+    ends = (4 + 4 * n + np.cumsum(_numbers(raw, n, 4), dtype=np.int64)).tolist()
     return [raw[a:b] for a, b in zip([4 + 4 * n, *ends], ends)]
 
 
-_ROW = "block long, bucket int, payload binary"
+def _pack_ids(ids: list[bytes]) -> bytes:
+    sizes = np.fromiter(map(len, ids), np.uint32, len(ids)) // np.uint32(4)
+    return zstandard.compress(len(ids).to_bytes(4, "little") + _planes(sizes) + _planes(np.frombuffer(b"".join(ids), np.uint32)), 3)
+
 
+def _unpack_ids(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """How many ids each word has, and all ids."""
+    raw = zstandard.decompress(data)
+    n = int.from_bytes(raw[:4], "little")
+    sizes = _numbers(raw, n, 4)
+    return sizes, _numbers(raw, int(sizes.sum()), 4 + 4 * n)
 
 
+_ROW = "block long, bucket int, check long, payload binary"
+
 
 def _send_words(buckets: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,95 +195,104 @@ def _send_words(buckets: int):
             parts: list[list[bytes]] = [[] for _ in range(buckets)]
             for w in words:
                 parts[zlib.crc32(w) % buckets].append(w)
-            rows = [(block, k, _pack(part)) for k, part in enumerate(parts) if part]
+            rows = [(block, k, 0, _pack_words(part)) for k, part in enumerate(parts) if part]
             yield _batch(rows)
 
     return work
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    a, b, c = zip(*rows) if rows else ((), (), ())
-    return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int32()), pa.array(c, pa.binary())], ["block", "bucket", "payload"])
+    columns = [*zip(*rows)] if rows else [()] * 4
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+    return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], ["block", "bucket", "check", "payload"])
 
 
 def _encode_words(path: str, pattern: str):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, pattern)
         known: dict[bytes, bytes] = {}
+        room = KNOWN_BYTES
         for batch in batches:
-            rows = []
-            for block, bucket, payload in zip(*(c.to_pylist() for c in batch.columns)):
-                ids = []
-                for w in _unpack(payload):
+            for block, bucket, _, payload in zip(*(c.to_pylist() for c in batch.columns)):
+                words, ids = _unpack_words(payload), []
+                for w in words:
                     if (x := known.get(w)) is None:
-                        x = known[w] = np.array(encoder.encode_ordinary(w.decode()), np.uint32).tobytes()
+                        x = np.array(encoder.encode_ordinary(w.decode()), np.uint32).tobytes()
+                        if (room := room - len(w) - len(x) - 150) < 0:
+                            known.clear()
+                            room = KNOWN_BYTES
+                        known[w] = x
                     ids.append(x)
-                rows.append((block, bucket, _pack(ids)))
-            yield _batch(rows)
+                yield _batch([(block, bucket, _checksum(_crcs(words)), _pack_ids(ids))])
 
     return work
 
 
-def _send_positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block, ids, texts in _blocks(batches):
-        number, seq, sizes = _words(texts)
-        words = [w.encode() for w in number]
-        crcs = np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
-        known = np.array([i is not None for i in ids], np.uint8)
-        parts = [
-            np.array([len(ids), len(words), len(seq), _checksum(words)], np.int64).tobytes(), known.tobytes(),
-            np.array([i or 0 for i in ids], np.int64).tobytes(), sizes.astype(np.uint32).tobytes(), crcs.tobytes(),
-            (seq & 0xFF).astype(np.uint8).tobytes() + (seq >> 8 & 0xFF).astype(np.uint8).tobytes() + (seq >> 16).astype(np.uint16).tobytes(),
-        ]
-        yield _batch([(block, -1, zstandard.compress(b"".join(parts), 3))])
-
-
-def _assemble(buckets: int):
-    def work(frame: pd.DataFrame) -> pd.DataFrame:
-        whole = frame[frame.bucket < 0]
-        if len(whole) != 1:
-            raise RuntimeError("a block's rows came apart: the input changed its order between two reads; write it to a table first")
-        raw = zstandard.decompress(whole.payload.iloc[0])
-        n, v, t, _ = np.frombuffer(raw, np.int64, 4).tolist()
-        at = 32
-        known = np.frombuffer(raw, np.uint8, n, at).astype(bool)
-        ids = np.frombuffer(raw, np.int64, n, at := at + n)
-        sizes = np.frombuffer(raw, np.uint32, n, at := at + 8 * n).astype(np.int64)
-        crcs = np.frombuffer(raw, np.uint32, v, at := at + 4 * n)
-        at += 4 * v
-        low, mid = np.frombuffer(raw, np.uint8, t, at), np.frombuffer(raw, np.uint8, t, at + t)
-        seq = low | mid.astype(np.uint32) << 8 | np.frombuffer(raw, np.uint16, t, at + 2 * t).astype(np.uint32) << 16
-        tokens: list[bytes] = [b""] * v
-        part = crcs % np.uint32(buckets)
-        for bucket, payload in zip(frame.bucket, frame.payload):
-            if bucket >= 0:
-                mine = np.flatnonzero(part == bucket).tolist()
-                got = _unpack(payload)
-                if len(got) != len(mine):
-                    raise RuntimeError("a block's words differ between two reads of the input; write it to a table first")
-                for k, x in zip(mine, got):
-                    tokens[k] = x
-        if v and not all(tokens):
-            raise RuntimeError("a block's words differ between two reads of the input; write it to a table first")
-        flat = np.frombuffer(b"".join(tokens), np.uint32)
-        width = np.fromiter(map(len, tokens), np.int64, v) // 4
-        first = np.cumsum(width) - width
-        count = width[seq]
-        stop = np.cumsum(count)
-        # Token k of the block takes ids first[seq[k]] ... + count[k]; written at its position.
-        out = flat[np.repeat(first[seq] - (stop - count), count) + np.arange(stop[-1] if t else 0)] if t else flat[:0]
-        ends = np.cumsum(sizes)
-        bound = np.concatenate([[0], stop])[np.concatenate([[0], ends])]
-        data = out.tobytes()
-        return pd.DataFrame({
-            "id": pd.array(np.where(known, ids, 0), "Int64").copy() if known.all() else pd.array([i if k else None for i, k in zip(ids.tolist(), known)], "Int64"),
-            "n_tokens": np.diff(bound),
-            "ids": [data[4 * a : 4 * b] for a, b in zip(bound.tolist(), bound[1:].tolist())],
-        })
+def _send_positions(buckets: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, ids, texts in _blocks(batches):
+            number, seq, sizes = _words(texts)
+            crcs = _crcs([w.encode() for w in number])
+            # The word numbers of each bucket, and their checksum, in order of bucket.
+            part = crcs % np.uint32(buckets)
+            order = np.argsort(part, kind="stable")
+            edge = np.flatnonzero(np.diff(part[order], prepend=-1, append=-1).astype(bool)) if len(part) else np.zeros(1, np.int64)
+            checks = [_checksum(crcs[order[a:b]]) for a, b in zip(edge, edge[1:])]
+            known = np.array([i is not None for i in ids], np.uint8)
+            parts = [
+                np.array([len(ids), len(part), len(seq), len(checks)], np.int64).tobytes(), known.tobytes(), np.array([i or 0 for i in ids], np.int64).tobytes(),
+                np.array(checks, np.int64).tobytes(), _planes(sizes), _planes(part), _planes(seq),
+            ]
+            yield _batch([(block, -1, 0, zstandard.compress(b"".join(parts), 3))])
 
     return work
 
 
+_DIFFER = "a block's words differ between two reads of the input; write it to a table first"
+
+
+def _assemble(frame: pd.DataFrame) -> pd.DataFrame:
+    whole = frame[frame.bucket < 0]
+    if len(whole) != 1:
+        raise RuntimeError(_DIFFER)
+    raw = zstandard.decompress(whole.payload.iloc[0])
+    n, v, t, c = np.frombuffer(raw, np.int64, 4).tolist()
+    at = 32
+    known = np.frombuffer(raw, np.uint8, n, at).astype(bool)
+    ids = np.frombuffer(raw, np.int64, n, at := at + n)
+    checks = np.frombuffer(raw, np.int64, c, at := at + 8 * n)
+    sizes = _numbers(raw, n, at := at + 8 * c).astype(np.int64)
+    part = _numbers(raw, v, at := at + 4 * n)
+    seq = _numbers(raw, t, at + 4 * v)
+    got = {b: (check, payload) for b, check, payload in zip(frame.bucket, frame.check, frame.payload) if b >= 0}
+    there = np.unique(part).tolist()
+    if sorted(got) != there or any(got[b][0] != check for b, check in zip(there, checks.tolist())):
+        raise RuntimeError(_DIFFER)
+    width, flats = np.zeros(v, np.int64), []
+    first = np.zeros(v, np.int64)
+    done = 0
+    order = np.argsort(part, kind="stable")
+    for b, mine in zip(there, np.split(order, np.searchsorted(part[order], there)[1:])):
+        count, flat = _unpack_ids(got[b][1])
+        width[mine] = count
+        first[mine] = done + np.cumsum(count, dtype=np.int64) - count
+        done += len(flat)
+        flats.append(flat)
+    flat = np.concatenate(flats) if flats else np.zeros(0, np.uint32)
+    count = width[seq]
+    stop = np.cumsum(count)
+    # Token k of the block takes ids first[seq[k]] ... + count[k]; written at its position.
+    out = flat[np.repeat(first[seq] - (stop - count), count) + np.arange(stop[-1])] if t else flat[:0]
+    ends = np.cumsum(sizes)
+    bound = np.concatenate([[0], stop])[np.concatenate([[0], ends])]
+    data = out.tobytes()
+    return pd.DataFrame({
+        "id": pd.array(np.where(known, ids, 0), "Int64").copy() if known.all() else pd.array([i if k else None for i, k in zip(ids.tolist(), known)], "Int64"),
+        "n_tokens": np.diff(bound),
+        "ids": [data[4 * a : 4 * b] for a, b in zip(bound.tolist(), bound[1:].tolist())],
+    })
+
+
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``n_tokens`` and ``ids`` (little-endian unsigned 32-bit) for each row of ``docs``.
 
@@ -263,12 +301,13 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     however long. ``docs`` is read twice and must be a table scan (see the module's text).
     """
     spark = docs.sparkSession
+    small_batches(spark)
     buckets = partitions(spark)
     pair = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.spark_partition_id().alias("part"))
     words = pair.mapInArrow(_send_words(buckets), _ROW)
     ids = words.repartition(buckets, "bucket").mapInArrow(_encode_words(path, pattern), _ROW)
-    rows = ids.union(pair.mapInArrow(_send_positions, _ROW))
-    out = rows.groupBy("block").applyInPandas(_assemble(buckets), "id long, n_tokens long, ids binary")
+    rows = ids.union(pair.mapInArrow(_send_positions(buckets), _ROW))
+    out = rows.groupBy("block").applyInPandas(_assemble, "id long, n_tokens long, ids binary")
     return out.withColumnRenamed("id", id_col)
 
 

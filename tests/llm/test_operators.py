@@ -6,7 +6,9 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -138,13 +140,25 @@ def test_count_tree_loses_no_pair():
     draw = np.random.default_rng(2)
     sets = [np.unique(draw.integers(0, 1 << 62, 300).astype(np.uint64)) for _ in range(300)]
     sets += [np.unique(np.concatenate([s[:280], draw.integers(0, 1 << 62, 15).astype(np.uint64)])) for s in sets[:150]]
-    points = np.array([np.frombuffer(jaccard.point(s, jaccard.GROUPS), np.uint8) for s in sets])
-    i, j = jaccard.CountTree(points, np.array([len(s) for s in sets])).pairs()
-    found = {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist())}
+    points = np.array([np.frombuffer(jaccard.point(s), np.uint8) for s in sets])
     both = jaccard.overlaps(sets)
     n = np.array([len(s) for s in sets])
     want = {(a, b) for a, b in zip(*np.nonzero(np.triu(7 * both >= 3 * (n[:, None] + n), 1)))}
-    assert want <= found and len(want) >= 100 and len(found) < 3_000
+    for of in (np.arange(len(sets)), np.arange(len(sets)) % 50):
+        found = {(min(a, b), max(a, b)) for i, j, _ in jaccard.CountTree(points, n, of).pairs() for a, b in zip(i.tolist(), j.tolist())}
+        assert {(a, b) for a, b in want if of[a] != of[b]} <= found and len(found) < 3_000 and not any(of[a] == of[b] for a, b in found)
+    assert len(want) >= 100
+
+
+@pytest.mark.parametrize("leaf, cell, block", [(4, 8, 4), (4, 4_096, 2), (16, 4_096, 384)])
+def test_jaccard_join_in_small_cells(spark, tmp_path, monkeypatch, leaf, cell, block):
+    """Shards cut into bands and parts, and components that blocks of copies leave apart, give the same answer."""
+    for name, value in (("LEAF", leaf), ("CELL", cell), ("BLOCK", block)):
+        monkeypatch.setattr(jaccard, name, value)
+    texts = near_copies(3)
+    got = collected(jaccard.near_duplicates(documents(spark, texts, tmp_path)))
+    want = brute_components({k: shingles(t) for k, t in enumerate(texts)}, range(len(texts)))
+    assert {k: got[k].component_id for k in want} == want
 
 
 def test_components(spark):
@@ -403,3 +417,17 @@ def test_pii_masks_and_scores():
     assert pii.mask(None) is None and pii.mask("") == ""
     assert pii.find("call +49 301234567")[0][3] > pii.find("x +49 301234567")[0][3]
     assert pii.mod97("GB82WEST12345698765432") and not pii.mod97("GB82WEST12345698765431")
+
+
+def test_bpe_raises_where_the_input_changes_between_its_reads(spark):
+    """Words whose order differs between the two reads have other checksums."""
+    words = [b"one", b" two", b" three"]
+    one, other = (next(bpe._send_positions(1)(iter([pa.record_batch([pa.array([1]), pa.array([t]), pa.array([0], pa.int32())], ["id", "text", "part"])]))) for t in ("one two three", "one three two"))
+    rows = [(0, 0, bpe._checksum(bpe._crcs(words)), bpe._pack_ids([np.array([k], np.uint32).tobytes() for k in range(3)]))]
+    for positions, good in ((one, True), (other, False)):
+        frame = pd.DataFrame(rows + [(0, -1, 0, positions.column(3)[0].as_py())], columns=["block", "bucket", "check", "payload"])
+        if good:
+            assert np.frombuffer(bpe._assemble(frame).ids[0], np.uint32).tolist() == [0, 1, 2]
+        else:
+            with pytest.raises(RuntimeError, match="differ"):
+                bpe._assemble(frame)
