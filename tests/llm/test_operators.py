@@ -265,6 +265,35 @@ def test_near_passages_against_brute_force(spark, tmp_path):
     assert len(want) > 60 and want <= got
 
 
+def test_passages_of_repeated_ids_and_repeated_words(spark):
+    """Another text of a copy's id keeps its passages; stretches of one word meet whatever lies around them."""
+    draw = np.random.default_rng(11)
+    text = lambda n: " ".join(f"v{k}" for k in draw.integers(0, 50_000, n))
+    passage, whole = text(60), text(70)
+    runs = [f"{text(20)} {'the ' * n}{text(20)}" for n in (60, 55, 400, 30)]
+    rows = [(0, whole), (1, whole), (1, f"{text(10)} {passage}"), (2, f"{passage} {text(15)}")] + [(10 + k, t) for k, t in enumerate(runs)]
+    got = {(r.doc_id, r.match_id) for r in substring.near_passages(frame(spark, rows, "doc_id long, text string")).collect()}
+    assert {(1, 0), (2, 1)} <= got and {a for a, _ in got} == {1, 2, 11, 12}
+
+
+def test_frequent_marks_chain_every_place(spark):
+    """Near copies in a large group, each with edits of its own, are all listed; others around the same sentence are not."""
+    draw = np.random.default_rng(12)
+    text = lambda n: [f"v{k}" for k in draw.integers(0, 50_000, n)]
+    base, sentence = text(150), text(40)
+    texts = []
+    for _ in range(60):
+        t = list(base)
+        for k in draw.integers(0, 150, 2):
+            t[k : k + int(draw.integers(0, 2))] = text(1)
+        texts.append(t)
+    texts += [text(20) + sentence + text(20) for _ in range(60)]
+    got = {r.doc_id for r in substring.near_passages(frame(spark, [(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")).collect()}
+    shingles = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    near = {j for j in range(60) for i in range(j) if len(shingles[i] & shingles[j]) >= 0.75 * len(shingles[i] | shingles[j])}
+    assert near <= got and not got & set(range(60, 120)) and len(near) > 20
+
+
 def test_compact_windows_hold_every_minimum():
     h = np.random.default_rng(7).integers(0, 1 << 62, 60).astype(np.uint64)
     windows = substring.compact_windows(h, 10)
