@@ -94,9 +94,14 @@ def sendable(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= SEND_IDS else ids
 
 
-def discard(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` without the rows whose id is in ``ids``; rows with a null id stay."""
-    return docs.join(sendable(materialize(ids.select(id_col).where(F.col(id_col).isNotNull()).distinct())), id_col, "left_anti").select(docs.columns)
+def discard(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose id and text hash (null ids equal each other) are in ``rows`` (id_col, text_hash).
+
+    Other texts of the same id stay.
+    """
+    bad = sendable(materialize(rows.select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash")).distinct()))
+    same = docs[id_col].eqNullSafe(bad["__id"]) & (F.xxhash64(docs[text_col]) == bad["__hash"])
+    return docs.join(bad, same, "left_anti").select(docs.columns)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -147,11 +152,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def _weight(frame: pd.DataFrame) -> int:
-    """About how many bytes a frame holds; only columns of bytes are measured, others count 16 a cell."""
+    """About how many bytes a frame holds; only columns of bytes and arrays are measured, others count 16 a cell."""
     out = 16 * frame.size
     for c in frame.columns:
-        if frame[c].dtype == object and isinstance(frame[c].iloc[0], (bytes, bytearray)):
-            out += sum(map(len, frame[c]))
+        if frame[c].dtype == object:
+            out += sum(len(x) if isinstance(x, (bytes, bytearray)) else x.nbytes for x in frame[c] if isinstance(x, (bytes, bytearray, np.ndarray)))
     return out
 
 

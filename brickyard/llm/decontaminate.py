@@ -9,39 +9,40 @@ pattern, so a short item does not shorten the moves for the long ones.
 
 from __future__ import annotations
 
-from collections import defaultdict
+import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialize, plain_words
+from .common import as_bytes, materialize, plain_words, small_batches
 
 WINDOW = 10
 #: Items whose text is sent to all tasks at once; a larger benchmark is searched in several passes.
-ITEM_CHARS_AT_ONCE = 32_000_000
+ITEM_CHARS_AT_ONCE = 8_000_000
 
 
 class WuManber:
-    """Patterns of one length over word numbers. ``find`` yields (start, pattern number)."""
-
-    def __init__(self, patterns: list[tuple[int, ...]]):
-        self.m = m = len(patterns[0])
-        self.b = b = min(2, m)
-        self.patterns = patterns
-        self.shift: dict[int, int] = {}
-        self.bucket: dict[int, list[int]] = defaultdict(list)
-        for number, p in enumerate(patterns):
-            for end in range(b, m + 1):
-                key = self._key(p[end - b : end])
-                self.shift[key] = min(self.shift.get(key, m), m - end)
-            self.bucket[self._key(p[m - b :])].append(number)
-        self.far = m - b + 1
-
-    @staticmethod
-    def _key(words: tuple[int, ...]) -> int:
-        return words[0] << 32 | words[-1]
+    """All windows of ``m`` words of items that lie in one array of word numbers. ``find`` yields (start, place of the window)."""
+
+    def __init__(self, m: int, words: np.ndarray, first: np.ndarray, size: np.ndarray):
+        self.m, self.b, self.words = m, min(2, m), words
+        self.far = m - self.b + 1
+        # A block of an item is followed, in the window that ends soonest after it, by so many words.
+        at, place = _spread(first, size - self.b + 1)
+        keys, moves = self._keys(at), np.maximum(m - self.b - place, 0)
+        order = np.lexsort((moves, keys))
+        order = order[np.flatnonzero(np.diff(keys[order], prepend=-1))]
+        self.shift = dict(zip(keys[order].tolist(), moves[order].tolist()))
+        start, _ = _spread(first, size - m + 1)
+        last = self._keys(start + m - self.b)
+        order = np.argsort(last, kind="stable")
+        self.last, self.start = last[order], start[order]
+
+    def _keys(self, at: np.ndarray) -> np.ndarray:
+        return self.words[at] << 32 | self.words[at + self.b - 1]
 
     def find(self, text: list[int]) -> Iterator[tuple[int, int]]:
         shift, far, back, m = self.shift, self.far, self.b - 1, self.m
@@ -52,37 +53,57 @@ class WuManber:
             if move:
                 end += move
                 continue
-            start = end - m + 1
-            window = tuple(text[start : end + 1])
-            for number in self.bucket[key]:
-                if self.patterns[number] == window:
-                    yield start, number
+            begin = end - m + 1
+            window = text[begin : end + 1]
+            a, b = np.searchsorted(self.last, [key, key + 1])
+            for place in self.start[a:b].tolist():
+                if self.words[place : place + m].tolist() == window:
+                    yield begin, place
             end += 1
 
 
+def _spread(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """first[k] + 0 ... count[k] - 1 for all k, and the numbers added."""
+    added = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return np.repeat(first, count) + added, added
+
+
 class Matcher:
-    """Search tables for a set of items: (item id as text, words)."""
+    """Search tables for a set of items: (item id as text, words). About 20 bytes for each character of the items."""
 
     def __init__(self, items: list[tuple[str, list[bytes]]]):
         self.numbers: dict[bytes, int] = {}
-        by_length: dict[int, dict[tuple[int, ...], set[str]]] = defaultdict(lambda: defaultdict(set))
-        for item, words in items:
-            seq = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words]
-            size = min(WINDOW, len(seq))
-            for k in range(len(seq) - size + 1 if size else 0):
-                by_length[size][tuple(seq[k : k + size])].add(item)
-        self.tables = [(WuManber([*p]), [*p.values()]) for _, p in sorted(by_length.items())]
+        some = [(item, words) for item, words in items if words]
+        self.names = [item for item, _ in some]
+        size = np.array([len(words) for _, words in some], np.int64)
+        flat = np.fromiter((self.numbers.setdefault(w, len(self.numbers) + 1) for _, words in some for w in words), np.int64, int(size.sum()))
+        self.first = np.cumsum(size) - size
+        span = np.minimum(size, WINDOW)
+        self.tables = [WuManber(m, flat, self.first[span == m], size[span == m]) for m in np.unique(span).tolist()]
 
     def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Merged (start, end) of hit words and the items found."""
         text = [self.numbers.get(w, 0) for w in words]
         found: list[tuple[int, int]] = []
-        items: set[str] = set()
-        for search, owners in self.tables:
-            for start, number in search.find(text):
+        places: set[int] = set()
+        for search in self.tables:
+            for start, place in search.find(text):
                 found.append((start, start + search.m))
-                items |= owners[number]
-        return _merged(found), items
+                places.add(place)
+        owners = np.searchsorted(self.first, sorted(places), side="right") - 1
+        return _merged(found), {self.names[k] for k in owners.tolist()}
+
+
+#: The tables of the part of a benchmark that this worker searched last.
+_BUILT: dict[str, Matcher] = {}
+
+
+def _matcher(name: str, items: list[tuple[str, list[bytes]]]) -> Matcher:
+    """The search tables of the part called ``name``, made once in each worker."""
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Matcher(items)
+    return _BUILT[name]
 
 
 def _chunks(benchmark: DataFrame) -> Iterator[list[tuple[str, list[bytes]]]]:
@@ -115,10 +136,10 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _search(state: DataFrame, items: list[tuple[str, list[bytes]]]) -> DataFrame:
     """Search one part of the items in (id, text, hits, items), adding to what is there."""
-    shared = state.sparkSession.sparkContext.broadcast(items)
+    shared, name = state.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(shared.value)
+        matcher = _matcher(name, shared.value)
         for batch in batches:
             n_words, hits, items = [], [], []
             for text, before, had in zip(as_bytes(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
@@ -148,6 +169,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     most ITEM_CHARS_AT_ONCE characters, which bounds what is sent to all tasks; beyond that one
     pass for each part of that size, each written to the shared folder before the next.
     """
+    small_batches(docs.sparkSession)
     none = F.lit(None).cast("array<struct<start:int,end:int>>")
     state = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), none.alias("hits"), F.lit(None).cast("array<string>").alias("items"))
     parts = _chunks(benchmark)

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, by_sorted_group, materialize
+from .common import Forest, by_sorted_group, materialize, small_batches
 from .components import connected_components
 
 SHARD = 2_000
@@ -23,6 +23,8 @@ LINKS = 16
 BEAM = 48
 AUDIT = 64
 RECALL = 0.99
+#: Nearest nodes of an audited query that its beam must hold, and the share of them that must be found.
+NEAREST, NEAR_RECALL = 5, 0.95
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -174,9 +176,10 @@ def pairs_above(graph: Graph, queries: np.ndarray, least: float) -> tuple[np.nda
     """(query, node) of cosine ``least`` and more.
 
     At each width an audit of AUDIT queries against brute force must find RECALL of what there
-    is, or the beam is doubled. Queries whose whole beam lies in range have more to find: they are
-    left out of the audit and asked again, with a wider beam, until theirs is not full. Where a beam
-    would hold an eighth of the shard, comparing with the whole shard costs less and is exact.
+    is in range, and NEAR_RECALL of the NEAREST nodes of each query whatever their cosine, so that it has
+    something to find in every shard; else the beam is doubled. Queries whose whole beam lies in range have more to find: they are
+    left out of the first count and asked again, with a wider beam, until theirs is not full. The widest beam is the
+    whole shard, which is compared as such; shards of BEAM vectors and less come to that at once.
     """
     n = len(graph.x)
     # Searches run in single precision with room for its error; who calls verifies in double.
@@ -189,11 +192,14 @@ def pairs_above(graph: Graph, queries: np.ndarray, least: float) -> tuple[np.nda
         return found, s >= least, (s >= least).all(axis=1)
 
     beam, todo = BEAM, np.arange(len(queries))
-    while len(todo) and 8 * beam < n:
+    while len(todo) and beam < n:
         some = todo[np.linspace(0, len(todo) - 1, min(AUDIT, len(todo))).astype(int)]
-        _, good, full = ask(some)
-        there = (queries[some] @ graph.x.T >= least).sum(axis=1)
-        if good.sum(axis=1)[~full].sum() < RECALL * there[~full].sum():
+        found, good, full = ask(some)
+        true = queries[some] @ graph.x.T
+        there = (true >= least).sum(axis=1)
+        near = np.argpartition(-true, NEAREST - 1, axis=1)[:, :NEAREST]
+        hit = (found[:, :, None] == near[:, None, :]).any(axis=1).sum()
+        if good.sum(axis=1)[~full].sum() < RECALL * there[~full].sum() or hit < NEAR_RECALL * near.size:
             beam *= 2
             continue
         again = []
@@ -228,6 +234,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, shard: int = SHARD)
     unordered pair of shards is one cell, and of its links the cell returns counts and a spanning
     forest, so what leaves it grows with its vectors.
     """
+    small_batches(vectors.sparkSession)
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"), F.col("label").cast("string").alias("label"))
     sane = F.coalesce(
         (F.size("e") > 0) & F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("e", lambda x: x != 0), F.lit(False)

@@ -36,7 +36,7 @@ from .components import connected_components
 
 WORDS = 5
 #: Hash groups of shingles, the coordinates of a point.
-GROUPS = 1_024
+GROUPS = 512
 #: Common shingles that come last in the order, at most; the driver holds them, the tasks a table of flags.
 COMMON = 262_144
 #: Sets in a block of the comparison of min-hash classes, and points of a shard handled together.
@@ -141,8 +141,8 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, m = len(sets), len(some)
         pad = lambda x, after: pa.array([*x, *[None] * m] if after else [*[None] * n, *x], pa.int64())
         yield pa.record_batch(
-            [pa.concat_arrays([batch.column(0).cast(pa.int64()), pa.nulls(m, pa.int64())]), pad(map(len, sets), True), pad((a for a, _ in signs), True), pad((b for _, b in signs), True), pad(values[some].view(np.int64).tolist(), False), pad(counts[some].tolist(), False)],
-            ["id", "n", "s1", "s2", "shingle", "times"],
+            [pa.concat_arrays([batch.column(0).cast(pa.int64()), pa.nulls(m, pa.int64())]), pad(map(len, sets), True), pad((a for a, _ in signs), True), pad((b for _, b in signs), True), pad(values[some].view(np.int64).tolist(), False), pad(counts[some].tolist(), False), pa.concat_arrays([batch.column(2), pa.nulls(m, pa.int64())])],
+            ["id", "n", "s1", "s2", "shingle", "times", "hash"],
         )
 
 
@@ -397,20 +397,22 @@ def _named(labels: DataFrame | None, nodes: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, n_shingles, component_id`` for each row of ``docs``.
+    """``id_col, n_shingles, component_id, group_id, text_hash`` (xxhash64 of the text) for each row of ``docs``.
 
     Two rows link when 100 * intersection >= 75 * union of their sets; component_id is the
     smallest id reachable, itself included. Null texts and texts without words have no shingles
     and link with nothing; a null id is answered with a null component and links with nothing;
-    rows that repeat an id are answered each for its own text; other columns are ignored, and an
+    rows that repeat an id are answered each for its own text, and group_id tells groups apart that such an id names alike
+    (null where there is none); other columns are ignored, and an
     empty table gives no rows. Whole texts count, however long. Sets are compared by 64-bit
     hashes of shingles; no pair is left out by sampling, and no group of copies is listed in pairs.
     """
     spark = docs.sparkSession
     small_batches(spark)
     pair = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    first = materialize(pair.mapInArrow(_first_pass, "id long, n long, s1 long, s2 long, shingle long, times long"), keep=True)
-    rows = first.where("s1 is not null").select("id", "n", "s1", "s2")
+    hashed = pair.withColumn("hash", F.xxhash64("text"))
+    first = materialize(hashed.mapInArrow(_first_pass, "id long, n long, s1 long, s2 long, shingle long, times long, hash long"), keep=True)
+    rows = first.where("s1 is not null").select("id", "n", "s1", "s2", "hash")
     often = first.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times"))
     common = often.where("times >= 6").orderBy(F.desc("times"), "shingle").limit(COMMON).select("shingle").toArrow()
     last = flags(common.column(0).to_numpy().astype(np.int64).view(np.uint64))
@@ -418,10 +420,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with scratch():
         component = connected_components(_links(spark, pair, classes, last))
         named = _named(component, classes.select("s1", "s2", "rep")).withColumn("component_id", F.min("rep").over(Window.partitionBy("c")))
-        of_class = materialize(named.select("s1", "s2", "component_id"), keep=True)
+        of_class = materialize(named.select("s1", "s2", "c", "component_id"), keep=True)
     out = rows.join(of_class, ["s1", "s2"], "left")
     lone = F.col("n").isNull() | (F.col("n") == 0)
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(lone, F.col("id")).when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(lone, F.col("id")).when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"), F.col("c").alias("group_id"), F.col("hash").alias("text_hash"))
 
 
 def _links(spark: SparkSession, pair: DataFrame, classes: DataFrame, common: np.ndarray) -> DataFrame:

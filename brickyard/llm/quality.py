@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes
+from .common import as_bytes, small_batches
 
 #: Labelled rows that the model is fitted on, at most; their features go to the driver (about 250 bytes a row).
 SAMPLE_ROWS = 20_000
@@ -133,7 +133,11 @@ def fit(docs: DataFrame, labels: DataFrame, train, rows: int = SAMPLE_ROWS) -> B
 
 
 def score(docs: DataFrame, model: BradleyTerry, text_col: str = "text", into: str = "score"):
-    """``docs`` with the score of each whole text; null and empty texts score like one another. No shuffle."""
+    """``docs`` with the score of each whole text; null and empty texts score like one another. No shuffle.
+
+    Repeated rows are each answered, an empty table gives none, and a column called ``into`` is replaced.
+    """
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
     def scores(text: pd.Series) -> pd.Series:

@@ -64,7 +64,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate documents by word shingles."""
-    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).drop("group_id", "text_hash")
 
 
 def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

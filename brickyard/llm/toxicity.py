@@ -3,7 +3,7 @@
 The classifier is linear over the presence of words. It sees confirmed toxic documents and
 unlabelled text only. With a class prior p the risk is p R+(toxic as toxic) plus the part of the
 unlabelled risk that is not due to hidden toxic documents, max(0, Ru(as clean) - p R+(as clean));
-where that part falls below zero its gradient is turned round, so the model does not fit the
+where that part falls below zero a step goes up its gradient alone, so the model does not fit the
 unlabelled sample to nothing.
 """
 
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, plain_words
+from .common import as_bytes, plain_words, small_batches
 from .quality import labelled_sample
 
 #: Confirmed toxic and unlabelled documents that the model is fitted on, at most, of each.
@@ -51,7 +51,7 @@ class PositiveUnlabelled:
             # Logistic losses: -log(s) as toxic, -log(1 - s) as clean.
             rest = -np.log(1 - su + 1e-12).mean() + self.prior * np.log(1 - sp + 1e-12).mean()
             clean = self._back(u, su / len(su), len(w)) - self.prior * self._back(p, sp / len(sp), len(w))
-            g = self.prior * self._back(p, (sp - 1) / len(sp), len(w)) + (clean if rest >= 0 else -clean)
+            g = self.prior * self._back(p, (sp - 1) / len(sp), len(w)) + clean if rest >= 0 else -clean
             g[:-1] += 2e-4 * w[:-1]
             first = 0.9 * first + 0.1 * g
             second = 0.99 * second + 0.01 * g * g
@@ -123,7 +123,11 @@ def fit(docs: DataFrame, labels: DataFrame, train, rows: int = SAMPLE_ROWS) -> P
 
 
 def score(docs: DataFrame, model: PositiveUnlabelled, text_col: str = "text", into: str = "score") -> DataFrame:
-    """``docs`` with the score of each whole text; null and empty texts get the bias alone. No shuffle."""
+    """``docs`` with the score of each whole text; null and empty texts get the bias alone. No shuffle.
+
+    Repeated rows are each answered, an empty table gives none, and a column called ``into`` is replaced.
+    """
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
     def scores(text: pd.Series) -> pd.Series:

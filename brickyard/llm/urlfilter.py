@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Labels of a host and folders of a path that make keys; a list's longer entries are cut to match whole.
+#: The end of an interval that no event ends.
 FAR = "9999-12-31 00:00:00"
 
 

@@ -9,6 +9,7 @@ places that are reached; the rest is payload, and goes back to the record it was
 
 from __future__ import annotations
 
+import datetime
 import re
 from collections.abc import Iterator
 
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop, materialize, shared_dir
+from .common import drop, materialize, shared_dir, small_batches
 
 #: Payloads of fewer bytes are never written as revisits.
 LEAST_REVISIT = 100
@@ -55,12 +56,13 @@ def _urn(page_id: Column) -> Column:
     return F.concat(F.lit("<urn:page:"), page_id.cast("string"), F.lit(">"))
 
 
-def write(pages: DataFrame, path: str) -> None:
-    """Write a record for each page as uncompressed archives in the folder ``path``.
+def write(pages: DataFrame, path: str, date: str | None = None) -> None:
+    """Write a record for each page as uncompressed archives in the folder ``path``, dated ``date`` (UTC, now if not given).
 
     Spark's text writer ends each record with the two line ends of the format, so the archives can
     be in any store it writes to. Line ends in a url are dropped from its header.
     """
+    date = date or datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     p = plan_records(pages)
     revisit = F.col("refers_to").isNotNull()
     http = F.concat(F.lit(_HTTP), F.col("payload_bytes").cast("string"), F.lit("\r\n\r\n"))
@@ -70,6 +72,7 @@ def write(pages: DataFrame, path: str) -> None:
         F.lit(_MAGIC[:-2]),
         F.concat(F.lit("WARC-Type: "), F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
         F.concat(F.lit("WARC-Record-ID: "), _urn(F.col("page_id"))),
+        F.lit(f"WARC-Date: {date}"),
         F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace("url", "[\r\n]", "")),
         F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("payload_digest")),
         F.when(revisit, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
@@ -143,20 +146,21 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     Text before the first record of a file and after the end of the chain is left out. A file
     whose first bytes are no record gives none; empty files give none.
     """
+    small_batches(spark)
     raw = spark.read.option("lineSep", _MAGIC).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
     small = materialize(raw.mapInArrow(_pieces, "file string, start long, at long, size long, step long"))
     # A split's first piece lies where the pieces of the splits before it end. Splits are few.
     total = small.groupBy("file", "start").agg(F.sum(F.col("size") + len(_MAGIC)).alias("n"))
     before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     base = total.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    placed = materialize(small.join(base, ["file", "start"]).withColumn("place", F.col("base") + F.col("at") - len(_MAGIC)))
+    placed = materialize(small.join(base.hint("merge"), ["file", "start"]).withColumn("place", F.col("base") + F.col("at") - len(_MAGIC)))
     drop(small)
     candidates = placed.where(F.col("step").isNotNull() & (F.col("place") >= 0)).select("file", "place", (F.col("place") + F.col("step")).alias("next"))
     starts = placed.select("file", F.lit(0).cast("long").alias("place")).distinct()
     true = _reach(candidates, starts).withColumn("true", F.lit(True))
     # The first true record of each split is all that the tasks need to follow the chain through it.
     entry = F.min(F.when(F.col("true"), F.col("place"))).alias("entry")
-    entries = materialize(placed.join(true, ["file", "place"], "left").groupBy("file", "start").agg(F.first("base").alias("base"), entry))
+    entries = materialize(placed.hint("merge").join(true.hint("merge"), ["file", "place"], "left").groupBy("file", "start").agg(F.first("base").alias("base"), entry))
     if entries.count() <= SEND_SPLITS:
         known = raw.join(F.broadcast(entries), ["file", "start"])
     else:  # a shuffle loses the order of the pieces, which their numbers bring back

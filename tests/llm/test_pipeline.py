@@ -38,3 +38,24 @@ def test_pipeline(spark, tmp_path):
     text = spark.read.parquet(str(tmp_path / "PII")).select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
     assert last.join(text, "doc_id").where("h <> decoded_sha256").count() == 0
     assert public_tokenizers.PATTERN and last.agg(F.sum("n_tokens")).first()[0] > 0
+
+
+def test_stages_on_repeated_ids_and_empty_tables(spark, tmp_path):
+    """Rows are judged each by its own text, equal rows are one, and an empty table passes through all stages."""
+    form = "doc_id long, text string, lang string, source string, n_chars long"
+    text = lambda k: " ".join(f"t{k}x{i}" for i in range(40))
+    item = " ".join(f"item{k}" for k in range(12))
+    rows = [(1, text(1)), (1, text(1)), (2, text(1)), (2, text(2)), (3, text(3)), (3, text(3) + " end"), (4, text(4)), (4, f"{text(5)} {item}"), (None, text(1)), (5, None), (5, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], form)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+    one = sorted((r.doc_id, r.text or "") for r in stages["n-gram Jaccard join"](spark, docs, str(tmp_path)).collect() if r.doc_id)
+    assert [x for x in one if x[0] != 3] == sorted([(1, text(1)), (2, text(2)), (4, text(4)), (4, f"{text(5)} {item}"), (5, ""), (5, "")])
+    assert len([x for x in one if x[0] == 3]) == 1
+    clean = sorted((r.doc_id, r.text or "") for r in stages["benchmark decontamination"](spark, docs, str(tmp_path)).collect() if r.doc_id)
+    assert clean == sorted((i, t or "") for i, t in rows if i and item not in (t or ""))
+    empty = docs.limit(0)
+    for stage in stages.values():
+        (empty := stage(spark, empty, str(tmp_path))).collect()
+    assert empty.collect() == [] and "n_tokens" in empty.columns
