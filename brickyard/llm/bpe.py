@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, slices, small_batches
+from .common import freed, partitions, slices, small_batches
 
 #: Characters in a block; a longer document is a block of its own.
 BLOCK_CHARS = 1_500_000
@@ -304,9 +304,9 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     small_batches(spark)
     buckets = partitions(spark)
     pair = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.spark_partition_id().alias("part"))
-    words = pair.mapInArrow(_send_words(buckets), _ROW)
-    ids = words.repartition(buckets, "bucket").mapInArrow(_encode_words(path, pattern), _ROW)
-    rows = ids.union(pair.mapInArrow(_send_positions(buckets), _ROW))
+    words = pair.mapInArrow(freed(_send_words(buckets)), _ROW)
+    ids = words.repartition(buckets, "bucket").mapInArrow(freed(_encode_words(path, pattern)), _ROW)
+    rows = ids.union(pair.mapInArrow(freed(_send_positions(buckets)), _ROW))
     out = rows.groupBy("block").applyInPandas(_assemble, "id long, n_tokens long, ids binary")
     return out.withColumnRenamed("id", id_col)
 
@@ -339,4 +339,4 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", into: str = "dec
             kept = [(n, c) for n, c in zip(names, batch.columns) if n != into]
             yield pa.record_batch([*(c for _, c in kept), out], [*(n for n, _ in kept), into])
 
-    return encoded.mapInArrow(work, schema)
+    return encoded.mapInArrow(freed(work), schema)

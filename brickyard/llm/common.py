@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -47,6 +49,28 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def give_back() -> None:
+    """Return freed memory to the system; workers are kept for later tasks, and so would be what they once used."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        gc.collect()
+
+
+def freed(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``work`` over the batches of a task, giving memory back now and then and at its end."""
+
+    def inner(batches: Iterator) -> Iterator:
+        for k, out in enumerate(work(batches)):
+            yield out
+            if k % 16 == 15:
+                give_back()
+        give_back()
+
+    return inner
+
+
 #: Frames written inside each open ``scratch``, innermost last.
 _WRITTEN: list[list[DataFrame]] = []
 
@@ -219,7 +243,7 @@ def by_sorted_group(df: DataFrame, keys: list[str], function: Callable[[pd.DataF
             if out:
                 yield pd.concat(out, ignore_index=True)
 
-    return dealt(df, keys).mapInPandas(work, schema)
+    return dealt(df, keys).mapInPandas(freed(work), schema)
 
 
 class Forest:

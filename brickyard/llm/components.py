@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, drop, materialize
+from .common import drop, Forest, freed, materialize
 
 
 def _thin(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -36,8 +36,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     Null ends and self links are ignored; no links give no rows.
     """
     links = links.select(F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b"))
-    stars = links.where("a < b").mapInPandas(_thin, "a long, b long").distinct()
-    now = materialize(stars.mapInPandas(_thin, "a long, b long"))
+    stars = links.where("a < b").mapInPandas(freed(_thin), "a long, b long").distinct()
+    now = materialize(stars.mapInPandas(freed(_thin), "a long, b long"))
     sign = None
     while True:
         # Large star: every larger neighbour of u links to the smallest of u's neighbourhood.

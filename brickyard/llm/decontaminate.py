@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialize, plain_words, small_batches
+from .common import as_bytes, freed, materialize, plain_words, small_batches
 
 WINDOW = 10
 #: Items whose text is sent to all tasks at once; a larger benchmark is searched in several passes.
@@ -157,7 +157,7 @@ def _search(state: DataFrame, items: list[tuple[str, list[bytes]]]) -> DataFrame
             )
 
     kind = state.schema["id"].dataType.simpleString()
-    return state.mapInArrow(work, f"id {kind}, text string, {_HITS}")
+    return state.mapInArrow(freed(work), f"id {kind}, text string, {_HITS}")
 
 
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Forest, as_bytes, by_sorted_group, cuts, dealt, materialize, mix64, scratch, sendable, slices, small_batches, whole_groups
+from .common import as_bytes, by_sorted_group, cuts, dealt, Forest, freed, materialize, mix64, scratch, sendable, slices, small_batches, whole_groups
 from .components import connected_components
 
 WORDS = 5
@@ -411,7 +411,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small_batches(spark)
     pair = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     hashed = pair.withColumn("hash", F.xxhash64("text"))
-    first = materialize(hashed.mapInArrow(_first_pass, "id long, n long, s1 long, s2 long, shingle long, times long, hash long"), keep=True)
+    first = materialize(hashed.mapInArrow(freed(_first_pass), "id long, n long, s1 long, s2 long, shingle long, times long, hash long"), keep=True)
     rows = first.where("s1 is not null").select("id", "n", "s1", "s2", "hash")
     often = first.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times"))
     common = often.where("times >= 6").orderBy(F.desc("times"), "shingle").limit(COMMON).select("shingle").toArrow()
@@ -428,7 +428,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _links(spark: SparkSession, pair: DataFrame, classes: DataFrame, common: np.ndarray) -> DataFrame:
     """Verified links between classes of equal sets that connect each component."""
-    keys = pair.where("id is not null").select("text").mapInArrow(_keys(spark.sparkContext.broadcast(common)), "key long, s1 long")
+    keys = pair.where("id is not null").select("text").mapInArrow(freed(_keys(spark.sparkContext.broadcast(common))), "key long, s1 long")
     same = Window.partitionBy("key")
     shared = materialize(
         keys.withColumn("low", F.min("s1").over(same)).withColumn("high", F.max("s1").over(same)).where("low < high").select("key", "s1").distinct()
@@ -439,7 +439,7 @@ def _links(spark: SparkSession, pair: DataFrame, classes: DataFrame, common: np.
     def read(some: DataFrame, function, schema: str) -> DataFrame:
         """What ``function`` makes of one text of each class in ``some``; sets are made anew, not kept."""
         texts = pair.join(sendable(some.select("id").distinct()), "id", "left_semi").select("text")
-        return texts.mapInArrow(function, schema).join(sendable(some.select("s1")), "s1", "left_semi")
+        return texts.mapInArrow(freed(function), schema).join(sendable(some.select("s1")), "s1", "left_semi")
 
     def sets_of(some: DataFrame) -> DataFrame:
         return read(materialize(ids.join(some, "s1", "left_semi")), _sets, "s1 long, n long, shingles binary")
@@ -457,7 +457,7 @@ def _links(spark: SparkSession, pair: DataFrame, classes: DataFrame, common: np.
         """Those of the pairs (a, b), written in the shared folder, that link."""
         sets = sets_of(pairs.select(F.col("a").alias("s1")).union(pairs.select("b")).distinct())
         left, right = (sets.select(F.col("s1").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
-        return materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(_verify, "a long, b long"))
+        return materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(freed(_verify), "a long, b long"))
 
     def named() -> DataFrame:
         return materialize(_named(connected_components(links), points.select("s1", "n")))
@@ -468,10 +468,10 @@ def _links(spark: SparkSession, pair: DataFrame, classes: DataFrame, common: np.
     two = mixed.where("many = 2").select(F.col("first.s1").alias("a"), F.col("last.s1").alias("b"), F.col("first.n").alias("na"), F.col("last.n").alias("nb"))
     two = two.where("4 * least(na, nb) >= 3 * greatest(na, nb)").select("a", "b")
     few = apart.join(mixed.where(F.col("many").between(3, LEAF)).select("key"), "key").select("key", "s1", "n", "c")
-    few = dealt(few, ["key"]).mapInPandas(_near, "a long, b long")
+    few = dealt(few, ["key"]).mapInPandas(freed(_near), "a long, b long")
     near = two.union(few).union(_searched(_cells(apart, mixed), points, False)).distinct()
     left, right = (points.select(F.col("s1").alias(x), F.col("point").alias(f"p{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
-    candidates = materialize(near.join(left, "a").join(right, "b").select("a", "b", "pa", "pb", "na", "nb").mapInArrow(_bounded, "a long, b long"))
+    candidates = materialize(near.join(left, "a").join(right, "b").select("a", "b", "pa", "pb", "na", "nb").mapInArrow(freed(_bounded), "a long, b long"))
     if not candidates.isEmpty():
         links = links.union(verified(candidates))
         now = named()
@@ -530,4 +530,4 @@ def _cells(apart: DataFrame, mixed: DataFrame) -> DataFrame:
 def _searched(cells: DataFrame, points: DataFrame, all_pairs: bool) -> DataFrame:
     """Pairs (a, b) that the trees of the cells leave."""
     full = cells.join(points.select("s1", "point"), "s1")
-    return dealt(full, ["key", "x", "y"]).mapInPandas(_candidates(all_pairs), "a long, b long")
+    return dealt(full, ["key", "x", "y"]).mapInPandas(freed(_candidates(all_pairs)), "a long, b long")

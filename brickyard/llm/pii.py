@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import freed
+
 #: Kinds in the order in which spans that start together are listed.
 KINDS = ("email", "ip", "card", "phone", "iban")
 
@@ -126,21 +128,21 @@ def mask(text: str | None, least_score: float = 0.0) -> str | None:
 
 
 def spans(text: Column) -> Column:
-    """Column of spans; null and empty texts have none. No shuffle: each row stands alone."""
+    """Column of spans; null and empty texts have none, long texts are searched whole. No shuffle: each row stands alone."""
 
     @F.pandas_udf(f"array<{SPAN}>")
-    def work(texts: pd.Series) -> pd.Series:
-        return pd.Series([find(x) for x in texts], dtype=object)
+    def work(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from freed(lambda some: (pd.Series([find(x) for x in texts], dtype=object) for texts in some))(batches)
 
     return work(text)
 
 
 def masked(text: Column) -> Column:
-    """Column of masked texts; null stays null."""
+    """Column of masked texts; null stays null and an empty text empty. Each row stands alone."""
 
     @F.pandas_udf("string")
-    def work(texts: pd.Series) -> pd.Series:
-        return pd.Series([mask(x) for x in texts], dtype=object)
+    def work(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from freed(lambda some: (pd.Series([mask(x) for x in texts], dtype=object) for texts in some))(batches)
 
     return work(text)
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, small_batches
+from .common import as_bytes, freed, small_batches
 
 #: Labelled rows that the model is fitted on, at most; their features go to the driver (about 250 bytes a row).
 SAMPLE_ROWS = 20_000
@@ -126,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, train, rows: int = SAMPLE_ROWS) -> B
             x = [features(t).astype(np.float32).tobytes() for t in as_bytes(batch.column(1))]
             yield pa.record_batch([batch.column(0).cast(pa.int32()), pa.array(x, pa.binary())], ["y", "x"])
 
-    got = labelled_sample(docs, labels, "quality", train, rows).mapInArrow(work, "y int, x binary").toPandas()
+    got = labelled_sample(docs, labels, "quality", train, rows).mapInArrow(freed(work), "y int, x binary").toPandas()
     got = got.sort_values(["y", "x"], kind="stable")
     x = np.frombuffer(b"".join(got.x), np.float32).reshape(len(got), N_FEATURES).astype(float)
     return BradleyTerry(x, got.y.to_numpy())
@@ -139,9 +139,11 @@ def score(docs: DataFrame, model: BradleyTerry, text_col: str = "text", into: st
     """
     small_batches(docs.sparkSession)
 
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.stack([features(t.encode() if t else None) for t in texts]) if len(texts) else np.zeros((0, N_FEATURES))))
+
     @F.pandas_udf("double")
-    def scores(text: pd.Series) -> pd.Series:
-        x = np.stack([features(t.encode() if t else None) for t in text]) if len(text) else np.zeros((0, N_FEATURES))
-        return pd.Series(model.score(x))
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from freed(lambda some: map(of, some))(batches)
 
     return docs.withColumn(into, scores(F.col(text_col)))

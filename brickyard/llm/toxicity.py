@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, plain_words, small_batches
+from .common import as_bytes, freed, plain_words, small_batches
 from .quality import labelled_sample
 
 #: Confirmed toxic and unlabelled documents that the model is fitted on, at most, of each.
@@ -117,7 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, train, rows: int = SAMPLE_ROWS) -> P
     toxic = labelled_sample(docs, labels.where("toxic = 1"), "toxic", train, rows)
     some = docs.where(F.col("doc_id").isNotNull() & train).select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(rows)
     other = docs.select("doc_id", "text").join(F.broadcast(some.distinct()), "doc_id").select(F.lit(0).alias("y"), "text")
-    got = [*toxic.union(other).mapInArrow(work, "y int, x binary").toLocalIterator()]
+    got = [*toxic.union(other).mapInArrow(freed(work), "y int, x binary").toLocalIterator()]
     sets = {y: [set(r) for r in sorted(bytes(r.x).split() for r in got if r.y == y)] for y in (0, 1)}
     return PositiveUnlabelled(sets[1], sets[0], counts[0] or 0.0)
 
@@ -129,8 +129,11 @@ def score(docs: DataFrame, model: PositiveUnlabelled, text_col: str = "text", in
     """
     small_batches(docs.sparkSession)
 
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([model.score(set(plain_words(t.encode()))) if t else model.score(set()) for t in texts], dtype=float)
+
     @F.pandas_udf("double")
-    def scores(text: pd.Series) -> pd.Series:
-        return pd.Series([model.score(set(plain_words(t.encode()))) if t else model.score(set()) for t in text], dtype=float)
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from freed(lambda some: map(of, some))(batches)
 
     return docs.withColumn(into, scores(F.col(text_col)))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop, materialize, shared_dir, small_batches
+from .common import drop, freed, materialize, shared_dir, small_batches
 
 #: Payloads of fewer bytes are never written as revisits.
 LEAST_REVISIT = 100
@@ -148,7 +148,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """
     small_batches(spark)
     raw = spark.read.option("lineSep", _MAGIC).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
-    small = materialize(raw.mapInArrow(_pieces, "file string, start long, at long, size long, step long"))
+    small = materialize(raw.mapInArrow(freed(_pieces), "file string, start long, at long, size long, step long"))
     # A split's first piece lies where the pieces of the splits before it end. Splits are few.
     total = small.groupBy("file", "start").agg(F.sum(F.col("size") + len(_MAGIC)).alias("n"))
     before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
@@ -165,7 +165,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         known = raw.join(F.broadcast(entries), ["file", "start"])
     else:  # a shuffle loses the order of the pieces, which their numbers bring back
         known = raw.withColumn("seq", F.monotonically_increasing_id()).join(entries, ["file", "start"]).sortWithinPartitions("file", "start", "seq")
-    followed = known.select("value", "file", "start", "base", "entry").mapInArrow(_follow, "file string, place long, step long, whole binary, kind int")
+    followed = known.select("value", "file", "start", "base", "entry").mapInArrow(freed(_follow), "file string, place long, step long, whole binary, kind int")
     # Records that go on in the next split are few, and are put together from their pieces.
     rest = followed.where("kind > 0").withColumn("record", F.last(F.when(F.col("kind") == 1, F.col("place")), True).over(Window.partitionBy("file").orderBy("place")))
     parts = rest.where("record is not null").groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("place", "whole"))).alias("parts"), F.max("step").alias("step"))
@@ -173,7 +173,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         F.slice("parts", F.lit(2), F.size("parts")), F.element_at("parts", 1)["whole"], lambda x, y: F.concat(x, F.lit(_MAGIC).cast("binary"), y["whole"])
     )
     whole = followed.where("kind = 0").select("file", "place", "whole", "step").union(parts.select("file", F.col("record").alias("place"), joined.alias("whole"), "step"))
-    return whole.mapInArrow(_open, "file string, place long, header string, http string, payload binary")
+    return whole.mapInArrow(freed(_open), "file string, place long, header string, http string, payload binary")
 
 
 def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
