@@ -23,7 +23,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     Rows that repeat an id are judged each by its text: of several in one group that with the smallest text hash
     stays, and equal rows are one. Rows without words or with a null id link with nothing and stay.
     """
-    found = materialize(jaccard.near_duplicates(docs).where("group_id is not null"))
+    found = materialize(jaccard.near_duplicates(docs).where("group_id is not null and doc_id is not null"))
     key = F.struct("doc_id", "text_hash")
     one = found.groupBy("group_id", "doc_id", "text_hash").agg(F.count("*").alias("k"))
     first = found.groupBy("group_id").agg(F.min(key).alias("stays"), F.count("*").alias("rows")).where("rows > 1")
