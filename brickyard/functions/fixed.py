@@ -258,3 +258,6 @@ IMAGE_SKIPS = ("facebook.com/tr", "google-analytics", "doubleclick", "logo", "av
 
 #: What a page says that asks for a check instead of showing listings.
 CHALLENGE_MARKERS = ("триває перевірка безпеки", "just a moment", "enable javascript and cookies", "cloudflare")
+
+#: Parts of a page's text that mean the reader was taken for a robot.
+BLOCKED_MARKERS = ("підозрілу активність", "suspicious activity", "captcha", "перевірте, що ви не робот", "verify you are human")

@@ -273,6 +273,12 @@ def is_challenge_page(html: Column) -> Column:
     return F.contains(html, F.lit("Just a moment...")) & F.contains(html, F.lit("challenge-platform"))
 
 
+def is_blocked_text(text: Column) -> Column:
+    """Whether a page's text says that its reader was taken for a robot."""
+    low = F.lower(text)
+    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(m)) for m in fixed.BLOCKED_MARKERS])
+
+
 def sheet_id(url: Column) -> Column:
     """The id in a spreadsheet's url, or the text itself."""
     found = F.regexp_extract(url, r"/spreadsheets/d/([a-zA-Z0-9-_]+)", 1)
