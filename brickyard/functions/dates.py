@@ -1,16 +1,18 @@
 """Publication dates in many forms as column expressions.
 
 The reference date is a parameter, never the clock. A form that names no real moment (31 February,
-25 o'clock) gives null, and the next form is tried.
+25 o'clock) gives null, and the next form is tried. Each form is looked for only where a cheap test allows it.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from brickyard.functions import fixed
-from brickyard.functions.text import clean, find_all, group, let
+from brickyard.functions.text import clean, find_all, group, has, let
 
 
 def _n(text: Column, default: Column | None = None) -> Column:
@@ -26,22 +28,23 @@ def iso(text: Column) -> Column:
     """``yyyy-MM-dd`` with or without a time."""
     p = r"\b(\d{4})-(\d{2})-(\d{2})(?:[ T](\d{1,2}):(\d{2})(?::(\d{2}))?)?\b"
     g = [_n(group(text, p, k)) for k in range(1, 7)]
-    return F.when(g[0].isNotNull(), _moment(g[0], g[1], g[2], *[F.coalesce(x, F.lit(0)) for x in g[3:]]))
+    return F.when(F.contains(text, F.lit("-")) & g[0].isNotNull(), _moment(g[0], g[1], g[2], *[F.coalesce(x, F.lit(0)) for x in g[3:]]))
 
 
 def numeric(text: Column) -> Column:
     """``dd.MM.yyyy`` with points, slashes or hyphens, two-digit years in this century, with or without a time."""
     p = r"\b(\d{1,2})[./-](\d{1,2})[./-](\d{2,4})(?:\s+(\d{1,2}):(\d{2}))?\b"
     d, m, y, h, mi = [_n(group(text, p, k)) for k in range(1, 6)]
-    return F.when(d.isNotNull(), _moment(F.when(y < 100, y + 2000).otherwise(y), m, d, F.coalesce(h, F.lit(0)), F.coalesce(mi, F.lit(0))))
+    return F.when(text.rlike(r"[./-]..?[./-]") & d.isNotNull(), _moment(F.when(y < 100, y + 2000).otherwise(y), m, d, F.coalesce(h, F.lit(0)), F.coalesce(mi, F.lit(0))))
 
 
 def relative(text: Column, today: Column) -> Column:
     """Today or yesterday, at the first time named."""
     low = F.lower(text)
+    named = reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in ("сьогодні", "сегодня", "вчора", "вчера")])
     day = F.when(low.rlike(r"(?U)\b(?:сьогодні|сегодня)\b"), today).when(low.rlike(r"(?U)\b(?:вчора|вчера)\b"), F.date_sub(today, 1))
     h, m = _n(group(low, r"(\d{1,2}):(\d{2})", 1), F.lit(0)), _n(group(low, r"(\d{1,2}):(\d{2})", 2), F.lit(0))
-    return F.when(day.isNotNull(), _moment(F.year(day), F.month(day), F.dayofmonth(day), h, m))
+    return F.when(named & day.isNotNull(), _moment(F.year(day), F.month(day), F.dayofmonth(day), h, m))
 
 
 def month_number(name: Column) -> Column:
@@ -56,14 +59,15 @@ def named_month(text: Column, today: Column) -> Column:
     def one(x: Column) -> Column:
         return _moment(_n(x["g3"], F.year(today)), month_number(x["g2"]), _n(x["g1"]), _n(x["g4"], F.lit(0)), _n(x["g5"], F.lit(0)))
 
-    return F.get(F.filter(F.transform(find_all(F.lower(text), p, 5), one), lambda x: x.isNotNull()), F.lit(0))
+    first = F.get(F.filter(F.transform(find_all(F.lower(text), p, 5), one), lambda x: x.isNotNull()), F.lit(0))
+    return F.when(text.rlike("[а-яіїєґА-ЯІЇЄҐ]"), first)
 
 
 def hours_ago(text: Column, today: Column) -> Column:
     """So many hours before the last minute of ``today``."""
     h = _n(group(text, r"\b(\d{1,2})\s+(?:годин|години|годину|час(?:ов|а)?)\s+тому\b"))
     late = _moment(F.year(today), F.month(today), F.dayofmonth(today), F.lit(23), F.lit(59))
-    return late - F.make_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(0), h)
+    return F.when(F.contains(F.lower(text), F.lit("тому")), late - F.make_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(0), h))
 
 
 def day_only(text: Column, today: Column) -> Column:
@@ -84,7 +88,8 @@ def any_form(text: Column, today: Column, bare_day: bool = True) -> Column:
 def marked(text: Column, today: Column) -> Column:
     """The first real date that follows a mark of publication."""
     found = find_all(F.lower(text), fixed.CREATED_MARK + r"([^·|]{1,80})", 1)
-    return F.get(F.filter(F.transform(found, lambda x: any_form(clean(x["g1"]), today)), lambda x: x.isNotNull()), F.lit(0))
+    first = F.get(F.filter(F.transform(found, lambda x: any_form(clean(x["g1"]), today)), lambda x: x.isNotNull()), F.lit(0))
+    return F.when(has(text, fixed.CREATED_MARK), first)
 
 
 def published(source: Column, value: Column, description: Column, today: Column) -> Column:

@@ -108,8 +108,9 @@ def _digits(text: Column) -> Column:
 def price_usd(text: Column, rate: float = fixed.UAH_RATE) -> Column:
     """Dollars named in a text, else its hryvnias by the rate (half to even); null for neither."""
     t = clean(text)
-    usd = _digits(group(t, r"(\d[\d\s]*)\s*(?:\$|у\.?о\.?|USD)"))
-    uah = _digits(group(t, r"(\d[\d\s]*)\s*(?:грн|uah)"))
+    # One of these signs is in every text that names a price, and testing for them is cheap.
+    usd = F.when(t.rlike("[$уУuU]"), _digits(group(t, r"(\d[\d\s]*)\s*(?:\$|у\.?о\.?|USD)")))
+    uah = F.when(t.rlike("[гГuU]"), _digits(group(t, r"(\d[\d\s]*)\s*(?:грн|uah)")))
     return F.coalesce(usd, F.bround(uah / F.lit(float(rate)), 0).cast("long") if rate else F.lit(None).cast("long"))
 
 
@@ -236,6 +237,11 @@ def phones_in_json(html: Column) -> Column:
     return _phones(F.regexp_extract_all(html, F.lit(_i(r'"(?:telephone|phone|phoneNumber)"\s*:\s*"([^"]+)"')), 1))
 
 
+def offer_phones(payload: Column) -> Column:
+    """Phone numbers of an offer's phone answer (JSON), each once, in order; none where it is no such answer."""
+    return _phones(F.coalesce(F.from_json(payload, "data struct<phones:array<string>>")["data"]["phones"], F.array().cast("array<string>")))
+
+
 def offer_number(html: Column) -> Column:
     """The number of an offer in a page's source; "" where there is none."""
     found = [F.regexp_extract(html, p, 1) for p in fixed.OFFER_PATTERNS]

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brickyard.operators.keyed import blank
+from brickyard.functions import text
+from brickyard.operators.keyed import blank, fill
 
 
 def int_param(raw: str | None, default: int) -> int:
@@ -91,3 +92,39 @@ def find_source(pages: DataFrame, name: str) -> DataFrame:
 def to_answer(rows: DataFrame) -> DataFrame:
     """One JSON object with the count and the listings; for a limited result, as an answer is held whole."""
     return rows.agg(F.to_json(F.struct(F.count("*").alias("count"), F.collect_list(F.struct(*rows.columns)).alias("listings"))).alias("answer"))
+
+
+_BODY = "updates array<struct<`№`:string,number:string,url:string,`телефон`:string,phone:string>>, overwrite boolean"
+
+
+def updates_of(body: Column) -> Column:
+    """(id, url, value) of each update in a request's JSON body; value is its phones joined by "; ".
+
+    A phone may be a text with several or a list; a body that is no JSON has none (null).
+    """
+    def some(*c: Column) -> Column:
+        return F.coalesce(*[F.when(F.trim(x) != "", F.trim(x)) for x in c], F.lit(""))
+
+    def one(u: Column) -> Column:
+        raw = some(u["телефон"], u["phone"])
+        listed = F.array_join(F.from_json(raw, "array<string>"), ";")
+        return F.struct(some(u["№"], u["number"]).alias("id"), some(u["url"]).alias("url"), text.phone_list(F.when(raw.startswith("["), F.coalesce(listed, F.lit(""))).otherwise(raw)).alias("value"))
+
+    return F.transform(F.from_json(body, _BODY)["updates"], one)
+
+
+def overwrite_of(body: Column) -> Column:
+    """Whether a request's JSON body lets values be overwritten; false where it does not say."""
+    return F.coalesce(F.from_json(body, _BODY)["overwrite"], F.lit(False))
+
+
+def extract_phones(rows: DataFrame, phone: str, description: str, url: str, overwrite: bool = False) -> DataFrame:
+    """``rows`` with phones found in description and url where there were none, or in place of those there with ``overwrite``."""
+    found = F.array_join(text.phones(text.clean(F.concat_ws(" ", description, url))), "; ")
+    return rows.withColumn(phone, fill(F.coalesce(phone, F.lit("")), found, overwrite))
+
+
+def require_overwrite(allowed: bool) -> None:
+    """A collection that may not overwrite its table is refused."""
+    if not allowed:
+        raise ValueError("collecting overwrites the table; allow it or name another")

@@ -35,6 +35,34 @@ def fill(old: Column, new: Column, overwrite: bool | Column = False) -> Column:
     return F.when(~blank(new) & (may | blank(old)), new).otherwise(old)
 
 
+def may_process(source: Column, value: Column, sources: list[str], overwrite: bool = False) -> Column:
+    """Whether a row is of one of the sources and its value missing, or any value may be overwritten."""
+    return F.coalesce(source.isin(sources), F.lit(False)) & (F.lit(True) if overwrite else blank(value))
+
+
+def replace_or_clear(old: Column, new: Column, source: Column, sources: list[str], overwrite: bool = False) -> Column:
+    """The new value where there is one; rows of ``sources``, or all with ``overwrite``, lose an old value that has no new one.
+
+    Other rows change only where they have no value.
+    """
+    forced = F.lit(True) if overwrite else F.coalesce(source.isin(sources), F.lit(False))
+    return F.when(forced, F.coalesce(new, F.lit(""))).when(blank(old) & ~blank(new), new).otherwise(old)
+
+
+def capped(rows: DataFrame, todo: Column, order: list[str], most: int, into: str = "taken") -> DataFrame:
+    """All rows, with whether they are among the first ``most`` of those for which ``todo`` holds; ``order`` names a unique key.
+
+    The keys taken are bounded by ``most``, found by a heap in each task, and met by a join that leaves the other rows as they are.
+    """
+    first = rows.where(todo).select(*order).orderBy(*order).limit(most).withColumn(into, F.lit(True))
+    return rows.join(F.broadcast(first) if most <= 100_000 else first, order, "left").withColumn(into, F.coalesce(into, F.lit(False)))
+
+
+def run_counts(judged: DataFrame, status: str = "status") -> DataFrame:
+    """How many rows of a run ended in each status, combined in each task first."""
+    return judged.groupBy(status).agg(F.count("*").alias("n"))
+
+
 def keyed_update(rows: DataFrame, updates: DataFrame, id_col: str, url_col: str, value: str, overwrite: bool) -> tuple[DataFrame, DataFrame]:
     """Apply ``updates`` (update_id, id, url, value; in order of update_id) to a column of ``rows``.
 
@@ -45,15 +73,18 @@ def keyed_update(rows: DataFrame, updates: DataFrame, id_col: str, url_col: str,
     """
     last_id = rows.where(~blank(F.col(id_col))).groupBy(F.col(id_col).alias("id")).agg(F.max("__ord").alias("by_id"))
     last_url = rows.where(~blank(F.col(url_col))).groupBy(F.col(url_col).alias("url")).agg(F.max("__ord").alias("by_url"))
-    found = updates.join(last_id, "id", "left").join(last_url, "url", "left").withColumn("target", F.coalesce("by_id", "by_url"))
-    known = found.join(rows.select(F.col("__ord").alias("target"), F.col(value).alias("had")), "target", "left")
-    valid = known.withColumn("ok", F.col("target").isNotNull() & ~blank(F.col("value")))
-    turn = F.row_number().over(Window.partitionBy("target", "ok").orderBy("update_id"))
+    keyed = updates.withColumn("id", F.when(~blank(F.col("id")), F.col("id"))).withColumn("url", F.when(~blank(F.col("url")), F.col("url")))
+    found = keyed.join(last_id, "id", "left").join(last_url, "url", "left").withColumn("target", F.coalesce("by_id", "by_url"))
+    valid = found.where(F.col("target").isNotNull() & ~blank(F.col("value")))
+    # Which update of a row came first is an aggregate, so updates without a row meet in no group.
+    first = valid.groupBy("target").agg(F.min("update_id").alias("first"))
+    had = rows.select(F.col("__ord").alias("target"), F.col(value).alias("had"))
+    known = found.join(first, "target", "left").join(had, "target", "left")
     status = (
         F.when(F.col("target").isNull(), "row not found").when(blank(F.col("value")), "invalid value")
-        .when(F.lit(overwrite), "updated").when(~blank(F.col("had")) | (turn > 1), "value already exists").otherwise("updated")
+        .when(F.lit(overwrite), "updated").when(~blank(F.col("had")) | (F.col("update_id") > F.col("first")), "value already exists").otherwise("updated")
     )
-    judged = valid.withColumn("status", status)
+    judged = known.withColumn("status", status)
     pick = F.max_by if overwrite else F.min_by
     wins = judged.where("status = 'updated'").groupBy(F.col("target").alias("__ord")).agg(pick("value", "update_id").alias("__new"))
     after = rows.join(wins, "__ord", "left").withColumn(value, F.coalesce("__new", value)).select(rows.columns)

@@ -207,12 +207,29 @@ def fit_addresses(rows: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def _holding(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows (ord, text) with each known address that the text contains, without regard to case.
+
+    A text that contains an address has all runs of five characters of it; they meet by that run of the address which
+    fewest known addresses have, an equi-join, and the few met are then tested.
+    """
+    def runs(text: Column) -> Column:
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - 4), lambda k: F.substring(text, k, F.lit(5))))
+
+    entry = known.withColumn("look", F.lower("address"))
+    spread = entry.select("address", F.explode(runs(F.col("look"))).alias("run"))
+    rare = spread.groupBy("run").agg(F.count("*").alias("often"))
+    key = spread.join(rare, "run").groupBy("address").agg(F.min(F.struct("often", "run")).alias("k")).select("address", F.col("k.run").alias("run"))
+    low = rows.select("ord", F.lower("text").alias("low")).where(F.length("text") >= 5)
+    met = low.select("ord", "low", F.explode(runs(F.col("low"))).alias("run")).join(key, "run").select("ord", "low", "address")
+    return met.join(entry, "address").where(F.contains("low", "look")).drop("look")
+
+
 def address_candidates(rows: DataFrame, model: dict[str, DataFrame]) -> DataFrame:
     """(ord, turn, value, kind, score) of each row's candidate addresses from rows (ord, source, city, url, text).
 
     Patterns in the description, known addresses that it contains, the url, and known tokens of the
-    city, in that order. Known addresses are matched by containment, which is no equality: the
-    dictionary is broadcast where the planner knows it to be small, and otherwise split over tasks.
+    city, in that order. Known addresses meet texts by five characters that they share, then containment is tested.
     Tokens are met by an equi-join on (city, token).
     """
     text = F.col("text")
@@ -222,7 +239,7 @@ def address_candidates(rows: DataFrame, model: dict[str, DataFrame]) -> DataFram
     one = rows.select("ord", F.posexplode(patterned).alias("turn", "value")).select("ord", F.struct(F.lit(0), F.col("turn").cast("long")).alias("turn"), "value", F.lit("description_regex").alias("kind"), F.lit(1.8).alias("score"))
     order = F.struct(F.lit(1), F.row_number().over(Window.partitionBy("ord").orderBy(F.desc("n"), "first")).cast("long"))
     known = model["addresses"].where(F.length("address") >= 5).select("address", "n", "first")
-    two = rows.select("ord", F.lower("text").alias("low")).join(known, F.contains("low", F.lower("address"))).select("ord", order.alias("turn"), F.col("address").alias("value"), F.lit("known_address").alias("kind"), F.lit(2.6).alias("score"))
+    two = _holding(rows, known).select("ord", order.alias("turn"), F.col("address").alias("value"), F.lit("known_address").alias("kind"), F.lit(2.6).alias("score"))
     three = rows.select("ord", url_address(F.col("url")).alias("value")).where("value <> ''").select("ord", F.struct(F.lit(2), F.lit(0).cast("long")).alias("turn"), "value", F.lit("url_slug").alias("kind"), F.lit(1.5).alias("score"))
     spread = rows.select("ord", "city", F.explode(F.array_distinct(tokens(text))).alias("token")).where(F.length("token") >= 5)
     met = spread.join(model["city_tokens"], ["city", "token"])

@@ -83,7 +83,7 @@ def append_new_only(spark, sf_dir):
 
 _UPDATES = """u AS (SELECT l_orderkey * 8 + l_linenumber AS update_id, CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE CAST(l_orderkey AS VARCHAR) END AS id,
   'u' || CAST(l_orderkey + CASE WHEN l_linenumber = 6 THEN 100000000 ELSE 0 END AS VARCHAR) AS url, CASE WHEN l_linenumber = 5 THEN '' ELSE 'p' || CAST(l_linenumber AS VARCHAR) END AS value
-  FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey % 5 = 0)),
+  FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)),
 r AS (SELECT o_orderkey AS ord, CAST(o_orderkey AS VARCHAR) AS id, 'u' || CAST(o_orderkey AS VARCHAR) AS url, CASE WHEN o_orderkey % 10 = 0 THEN 'old' ELSE '' END AS had FROM orders),
 f AS (SELECT u.*, coalesce(a.ord, b.ord) AS t, coalesce(a.had, b.had) AS had FROM u LEFT JOIN r a ON a.id = u.id LEFT JOIN r b ON b.url = u.url),
 s AS (SELECT *, row_number() OVER (PARTITION BY t, t IS NOT NULL AND value <> '' ORDER BY update_id) AS k FROM f)"""
@@ -103,7 +103,7 @@ def bulk_update_overwrite(spark, sf_dir):
 
 def _updated(spark: SparkSession, sf_dir: str, overwrite: bool):
     key, line = F.col("l_orderkey"), F.col("l_linenumber")
-    lines = table(spark, sf_dir, "lineitem").where("l_orderkey % 5 = 0").select("l_orderkey", "l_linenumber").distinct()
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct()
     updates = lines.select(
         (key * 8 + line).alias("update_id"), F.when(line % 3 == 0, "").otherwise(key.cast("string")).alias("id"),
         F.concat(F.lit("u"), (key + F.when(line == 6, 100_000_000).otherwise(0)).cast("string")).alias("url"), F.when(line == 5, "").otherwise(F.concat(F.lit("p"), line.cast("string"))).alias("value"),
@@ -126,9 +126,9 @@ def requested_sources_intersect(spark, sf_dir):
     return api.known_only(asked, table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("source")))
 
 
-@query("SELECT c_custkey AS source FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey AS source FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'")
 def sources_except(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("source")).subtract(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("source")))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("source")).subtract(table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("source")))
 
 
 _POINT = "CASE WHEN s_suppkey % 3 = 0 THEN 'Одеса' WHEN s_suppkey % 3 = 1 THEN 'Дніпро' ELSE 'Львів' END AS city, 46.0 + s_acctbal / 10000.0 AS lat, 30.0 + s_nationkey / 10.0 AS lon"
@@ -216,19 +216,21 @@ def floor_parse(spark, sf_dir):
     return _said(spark, sf_dir).select(*_LINES.split(", "), f["floor"].alias("floor"), f["floors"].alias("floors"))
 
 
-@query("""WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, (l_partkey + l_linenumber) % 6 + 1 AS label FROM lineitem WHERE l_linenumber <= 5)
+_ROOM_NAMES, _FLOOR_NAMES = (", ".join(f"'{p}'" for p in names) for names in (fixed.ROOM_PATTERNS, fixed.FLOOR_PATTERNS))
+
+
+@query(f"""WITH x AS (SELECT l_linenumber, (l_partkey + l_linenumber) % 6 + 1 AS label FROM lineitem)
 SELECT pattern, count(*) FILTER (hit) AS hits, count(*) FILTER (hit AND label = l_linenumber) AS correct,
   coalesce(round_even(count(*) FILTER (hit AND label = l_linenumber) / nullif(count(*) FILTER (hit), 0), 4), 0.0) AS precision
-FROM (SELECT *, pattern IN ('digit_k', 'digit_room_ua', 'digit_room_word_ua') AS hit FROM x, (SELECT unnest(['digit_k', 'digit_room_ua', 'digit_room_word_ua', 'digit_x', 'studio']) AS pattern) WHERE label <= 5) GROUP BY pattern""")
+FROM (SELECT *, l_linenumber <= 5 AND pattern IN ('digit_k', 'digit_room_ua', 'digit_room_word_ua') AS hit FROM x, (SELECT unnest([{_ROOM_NAMES}]) AS pattern) WHERE label <= 5) GROUP BY pattern""")
 def rooms_pattern_precision(spark, sf_dir):
     n, label = F.col("l_linenumber").cast("string"), ((F.col("l_partkey") + F.col("l_linenumber")) % 6 + 1).cast("int")
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber <= 5").select(F.concat(n, F.lit(" кімната, "), n, F.lit(" к.")).alias("t"), F.when(label > 5, "9").otherwise(label.cast("string")).alias("lab"))
-    fitted = models.fit_rooms(rows, F.col("t"), F.col("lab"))
-    return fitted.where(F.col("pattern").isin("digit_k", "digit_room_ua", "digit_room_word_ua", "digit_x", "studio"))
+    rows = table(spark, sf_dir, "lineitem").select(F.concat(n, F.lit(" кімната, "), n, F.lit(" к.")).alias("t"), F.when(label > 5, "9").otherwise(label.cast("string")).alias("lab"))
+    return models.fit_rooms(rows, F.col("t"), F.col("lab"))
 
 
-@query("""SELECT pattern, coalesce(hits, 0) AS hits, coalesce(c, 0) AS correct_floor, coalesce(t, 0) AS correct_total,
-  coalesce(round_even(c / hits, 4), 0.0) AS floor_precision, coalesce(round_even(t / hits, 4), 0.0) AS total_precision FROM (SELECT unnest(['floor_slash', 'floor_only_ua']) AS pattern) LEFT JOIN (
+@query(f"""SELECT pattern, coalesce(hits, 0) AS hits, coalesce(c, 0) AS correct_floor, coalesce(t, 0) AS correct_total,
+  coalesce(round_even(c / hits, 4), 0.0) AS floor_precision, coalesce(round_even(t / hits, 4), 0.0) AS total_precision FROM (SELECT unnest([{_FLOOR_NAMES}]) AS pattern) LEFT JOIN (
   SELECT 'floor_slash' AS pattern, count(*) AS hits, count(*) FILTER (l_linenumber = f) AS c, count(*) FILTER (p_size = 7) AS t FROM (
     SELECT l_linenumber, p_size, l_partkey % 9 + 1 AS f FROM lineitem JOIN part ON l_partkey = p_partkey WHERE NOT (p_size <= 40 AND l_linenumber > p_size))
   UNION ALL SELECT 'floor_only_ua', count(*), count(*) FILTER (l_linenumber = f), 0 FROM (SELECT l_linenumber, l_partkey % 9 + 1 AS f FROM lineitem)) USING (pattern)""")
@@ -237,17 +239,15 @@ def floor_pattern_precision(spark, sf_dir):
     joined = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     rows = joined.select(F.concat(n, F.lit(" поверх, будинок "), n, F.lit("/"), f).alias("t"), (F.col("l_partkey") % 9 + 1).cast("string").alias("f"))
     rows = rows.withColumn("f2", F.lit("7"))
-    fitted = models.fit_floors(rows, F.col("t"), F.col("f"), F.col("f2"))
-    keep = fitted.where(F.col("pattern").isin("floor_slash", "floor_only_ua"))
-    return keep
+    return models.fit_floors(rows, F.col("t"), F.col("f"), F.col("f2"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, CASE WHEN l_linenumber >= 5 THEN '5+' ELSE CAST(l_linenumber AS VARCHAR) END AS rooms FROM lineitem WHERE l_linenumber <= 5""")
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, CASE WHEN l_linenumber > 5 THEN '1' WHEN l_linenumber = 5 THEN '5+' ELSE CAST(l_linenumber AS VARCHAR) END AS rooms FROM lineitem""")
 def rooms_vote(spark, sf_dir):
     n = F.col("l_linenumber").cast("string")
     said = F.concat(F.lit("Продам "), n, F.lit(" кімнатна квартира, "), n, F.lit(" к, поруч 1х"))
     best = models.best_rooms(said, F.lit("https://x.example/a"), {"digit_k": 0.9, "digit_room_ua": 0.9, "digit_x": 0.1})
-    return table(spark, sf_dir, "lineitem").where("l_linenumber <= 5").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", best["rooms"].alias("rooms"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", best["rooms"].alias("rooms"))
 
 
 @query("""WITH t AS (SELECT p_partkey, pos, token FROM (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS token, generate_subscripts(string_split(p_name, ' '), 1) - 1 AS pos FROM part) WHERE length(token) > 1)
@@ -264,13 +264,13 @@ def source_known_ratio(spark, sf_dir):
     return models.fit_addresses(rows)["known_ratio"]
 
 
-@query("""WITH d AS (SELECT DISTINCT p_name FROM part WHERE length(p_name) >= 5 AND p_size = 7)
-SELECT ord, p_name AS value FROM (SELECT l_orderkey * 8 + l_linenumber AS ord, 'Found: ' || upper(min(p_name)) || ' and more' AS t FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 20 = 0 GROUP BY 1), d WHERE contains(lower(t), lower(p_name))""")
+@query("""WITH d AS (SELECT DISTINCT p_name FROM part WHERE length(p_name) >= 5)
+SELECT ord, p_name AS value FROM (SELECT l_orderkey * 8 + l_linenumber AS ord, 'Found: ' || upper(min(p_name)) || ' and more' AS t FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1), d WHERE contains(lower(t), lower(p_name))""")
 def known_address_match(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    model_rows = part.where("p_size = 7").select(F.col("p_partkey").alias("ord"), F.lit("REM.ua").alias("source"), F.lit("c").alias("city"), F.col("p_name").alias("address"), F.lit("").alias("text"))
+    model_rows = part.select(F.col("p_partkey").alias("ord"), F.lit("REM.ua").alias("source"), F.lit("c").alias("city"), F.col("p_name").alias("address"), F.lit("").alias("text"))
     model = models.fit_addresses(model_rows)
-    said = table(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    said = table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
     rows = said.groupBy((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ord")).agg(F.concat(F.lit("Found: "), F.upper(F.min("p_name")), F.lit(" and more")).alias("text"))
     rows = rows.withColumns({"source": F.lit("s"), "city": F.lit("x"), "url": F.lit("")})
     return models.address_candidates(rows, model).where("kind = 'known_address'").select("ord", "value")
@@ -366,3 +366,114 @@ def page_image_lists(spark, sf_dir):
     from brickyard.sources.html import page_images
 
     return table(spark, sf_dir, "pages").select("page_id", F.array_join(page_images(F.col("url"), F.col("html"), 6), " ").alias("images"))
+
+
+@query(f"""WITH {_UPDATES} SELECT status, count(*) AS n FROM (SELECT
+CASE WHEN t IS NULL THEN 'row not found' WHEN value = '' THEN 'invalid value' WHEN had <> '' OR k > 1 THEN 'value already exists' ELSE 'updated' END AS status FROM s) GROUP BY status""")
+def run_counters(spark, sf_dir):
+    return keyed.run_counts(_updated(spark, sf_dir, False)[1])
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' AND row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) <= 50 THEN 'done' ELSE o_orderpriority END AS value FROM orders""")
+def capped_update(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    return keyed.capped(orders, F.col("o_orderstatus") == "F", ["o_orderkey"], 50).select("o_orderkey", F.when(F.col("taken"), "done").otherwise(F.col("o_orderpriority")).alias("value"))
+
+
+_OLD, _NEW = "CASE WHEN o_orderkey % 3 = 0 THEN '' WHEN o_orderkey % 3 = 1 THEN 'old' END", "CASE WHEN o_orderkey % 2 = 0 THEN 'new' ELSE ' ' END"
+
+
+@query(f"""SELECT o_orderkey, CASE WHEN n = 'new' AND trim(coalesce(o, '')) = '' THEN n ELSE o END AS filled, CASE WHEN n = 'new' THEN n ELSE o END AS overwritten,
+  CASE WHEN o_orderstatus IN ('F', 'P') THEN n WHEN trim(coalesce(o, '')) = '' AND n = 'new' THEN n ELSE o END AS cleared,
+  o_orderstatus IN ('F', 'P') AND trim(coalesce(o, '')) = '' AS todo, o_orderstatus IN ('F', 'P') AS redo FROM (SELECT *, {_OLD} AS o, {_NEW} AS n FROM orders)""")
+def fill_policies(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").withColumn("o", F.expr(_OLD)).withColumn("n", F.expr(_NEW))
+    o, n, source, some = F.col("o"), F.col("n"), F.col("o_orderstatus"), ["F", "P"]
+    return rows.select(
+        "o_orderkey", keyed.fill(o, n).alias("filled"), keyed.fill(o, n, True).alias("overwritten"), keyed.replace_or_clear(o, n, source, some).alias("cleared"),
+        keyed.may_process(source, o, some).alias("todo"), keyed.may_process(source, o, some, True).alias("redo"),
+    )
+
+
+_DIGITS = "lpad(cast(o_orderkey as string), 9, '0')"
+
+
+@query("""SELECT o_orderkey, k, CASE WHEN k < 2 THEN CAST(o_orderkey AS VARCHAR) ELSE '' END AS id, CASE k WHEN 0 THEN '' ELSE 'u' || o_orderkey END AS url,
+  CASE k WHEN 0 THEN '+380' || d WHEN 1 THEN '+380' || d || '; +380111111111' ELSE '' END AS value, o_orderkey % 2 = 0 AS overwrite
+FROM (SELECT o_orderkey, unnest([0, 1, 2]) AS k, lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS d FROM orders)""")
+def json_updates(spark, sf_dir):
+    body = F.concat(
+        F.lit('{"updates": [{"№": '), F.col("o_orderkey").cast("string"), F.lit(', "телефон": "+380'), F.expr(_DIGITS), F.lit('"}, {"number": "'), F.col("o_orderkey").cast("string"),
+        F.lit('", "url": " u'), F.col("o_orderkey").cast("string"), F.lit('", "phone": ["0'), F.expr(_DIGITS), F.lit('", "0111111111", "+380'), F.expr(_DIGITS), F.lit('"]}, {"url": "u'), F.col("o_orderkey").cast("string"),
+        F.lit('", "phone": "none"}]'), F.when(F.col("o_orderkey") % 2 == 0, ', "overwrite": true}').otherwise("}"),
+    )
+    one = table(spark, sf_dir, "orders").select("o_orderkey", body.alias("body"))
+    return one.select("o_orderkey", api.overwrite_of(F.col("body")).alias("overwrite"), F.posexplode(api.updates_of(F.col("body"))).alias("k", "u")).select("o_orderkey", "k", "u.*", "overwrite")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE '+380' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') END AS phones FROM orders""")
+def offer_phone_answers(spark, sf_dir):
+    good = F.concat(F.lit('{"data": {"phones": ["0'), F.expr(_DIGITS), F.lit('", "380'), F.expr(_DIGITS), F.lit('", "7"]}}'))
+    payload = F.when(F.col("o_orderkey") % 3 == 0, '{"error": {"detail": "no"}}').otherwise(good)
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(text.offer_phones(payload), "; ").alias("phones"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '+380' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') WHEN 1 THEN 'had' ELSE '' END AS phone FROM orders""")
+def extracted_phones(spark, sf_dir):
+    k = F.col("o_orderkey") % 3
+    said = F.when(k < 2, F.concat(F.lit("дзвоніть 0"), F.expr(_DIGITS), F.lit(" зараз"))).otherwise("без телефону")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.when(k == 1, "had").otherwise(F.when(k == 0, "")).alias("phone"), said.alias("said"), F.lit("https://x.example/a").alias("url"))
+    return api.extract_phones(rows, "phone", "said", "url").select("o_orderkey", "phone")
+
+
+@query("""WITH t AS (SELECT p_partkey, p_brand, unnest(string_split(lower(p_name), ' ')) AS token FROM part)
+SELECT p_brand AS city, token, count(*) AS n, min(p_partkey) AS first_ord FROM t WHERE length(token) > 1 GROUP BY ALL""")
+def city_token_counts(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ord"), F.lit("REM.ua").alias("source"), F.col("p_brand").alias("city"), F.col("p_name").alias("address"), F.lit("").alias("text"))
+    return models.fit_addresses(rows)["city_tokens"].select("city", "token", "n", F.col("first.ord").alias("first_ord"))
+
+
+@query("SELECT marker, count(*) AS n, min(p_partkey) AS first_ord FROM part, (SELECT unnest(['вул', 'ул']) AS marker) WHERE p_size <= 40 GROUP BY marker")
+def address_marker_counts(spark, sf_dir):
+    said = F.concat(F.lit("Біля вул. "), F.when(F.col("p_size") > 40, F.lit(" - " * 12)).otherwise(""), F.col("p_name"), F.lit(" поруч"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ord"), F.lit("REM.ua").alias("source"), F.lit("c").alias("city"), F.col("p_name").alias("address"), said.alias("text"))
+    return models.fit_addresses(rows)["markers"].select("marker", "n", F.col("first.ord").alias("first_ord"))
+
+
+@query("SELECT CASE WHEN p_size = 5 THEN '5+' ELSE CAST(p_size AS VARCHAR) END AS label, count(*) AS n FROM part WHERE p_size <= 5 GROUP BY 1")
+def label_distribution(spark, sf_dir):
+    return models.label_counts(table(spark, sf_dir, "part"), models.room_label(F.col("p_size").cast("string")))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_linenumber AS floor, CASE WHEN p_size <= 40 AND l_linenumber <= p_size THEN p_size END AS floors
+FROM lineitem JOIN part ON l_partkey = p_partkey""")
+def best_floors(spark, sf_dir):
+    n, f = F.col("l_linenumber").cast("string"), F.col("p_size").cast("string")
+    joined = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    best = models.best_floor(F.concat(n, F.lit(" поверх, будинок "), n, F.lit("/"), f), {"floor_slash": 0.5, "floor_only_ua": 0.9})
+    return joined.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", best["floor"].alias("floor"), best["floors"].alias("floors"))
+
+
+@query("SELECT c_custkey, c_name, '' AS phone, c_mktsegment, '' AS last FROM customer")
+def ensured_columns(spark, sf_dir):
+    return keyed.ensure_columns(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), {"phone": "c_name", "c_name": "c_custkey", "last": "nowhere"})
+
+
+@query(ORACLES["haversine_center"].replace("round(CASE", "round_even(CASE").replace("END, 3) AS km", "END, 1) AS km"))
+def center_distances(spark, sf_dir):
+    k = F.col("s_suppkey") % 3
+    city = F.when(k == 0, "Одеса").when(k == 1, "Дніпро").otherwise("Львів")
+    lat, lon = 46.0 + F.col("s_acctbal") / 10000.0, 30.0 + F.col("s_nationkey") / 10.0
+    return table(spark, sf_dir, "supplier").select("s_suppkey", city.alias("city"), geo.distance_to_center(city, lat, lon).alias("km"))
+
+
+@query("""WITH f AS (SELECT 'file:/pictures/' || p_size || '/' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') || '.jpg' AS path, p_size FROM part),
+k AS (SELECT *, row_number() OVER (PARTITION BY p_size ORDER BY path) AS k FROM f)
+SELECT s_suppkey AS number, path FROM supplier JOIN k ON s_suppkey = p_size WHERE k <= 3""")
+def row_pictures(spark, sf_dir):
+    from brickyard.sources.listings import row_images
+
+    name = F.concat(F.lit("file:/pictures/"), F.col("p_size").cast("string"), F.lit("/"), F.lpad(F.col("p_partkey").cast("string"), 8, "0"), F.lit(".jpg"))
+    files = table(spark, sf_dir, "part").select(name.alias("path"))
+    rows = table(spark, sf_dir, "supplier").select(F.concat(F.lit("№ "), F.col("s_suppkey").cast("string")).alias("№"))
+    return row_images(rows, files, 3).select(F.regexp_replace("№", "[^0-9]", "").cast("long").alias("number"), "path")

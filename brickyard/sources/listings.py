@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -93,6 +93,17 @@ def image_files(spark: SparkSession, path: str, most: int) -> DataFrame:
     return files.orderBy("path").limit(most)
 
 
+def row_images(rows: DataFrame, files: DataFrame, most: int, number: str = "№") -> DataFrame:
+    """(number, path): the first ``most`` pictures by name of each row's folder, which the digits of its number name ("unknown" for none).
+
+    ``files`` has the paths; a folder's pictures are ranked by a window, and rows meet them by the folder's name.
+    """
+    folder = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
+    first = files.select("path", folder.alias("folder")).withColumn("k", F.row_number().over(Window.partitionBy("folder").orderBy("path"))).where(F.col("k") <= most)
+    digits = F.regexp_replace(F.coalesce(F.col(number).cast("string"), F.lit("")), "[^0-9]", "")
+    return rows.select(F.col(number), F.when(digits == "", "unknown").otherwise(digits).alias("folder")).join(first, "folder").select(number, "path")
+
+
 def write_listings(rows: DataFrame, path: str, one_file: bool = True) -> None:
     """Overwrite a CSV with a header, in one file (a sink for people) or in many.
 
@@ -100,16 +111,19 @@ def write_listings(rows: DataFrame, path: str, one_file: bool = True) -> None:
     """
     spark = rows.sparkSession
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    new, target = jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + ".new"), jvm.org.apache.hadoop.fs.Path(path)
+    new, old, target = (jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + end) for end in (".new", ".old", ""))
     (rows.coalesce(1) if one_file else rows).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(str(new))
     fs = target.getFileSystem(conf)
-    fs.delete(target, True)
-    fs.rename(new, target)
+    # The old table is kept beside it until the new one is in its place.
+    fs.delete(old, True)
+    if fs.exists(target) and not fs.rename(target, old) or not fs.rename(new, target):
+        raise OSError(f"{path} could not be replaced; the old table is at {old}, the new one at {new}")
+    fs.delete(old, True)
 
 
 def write_cache(cache: DataFrame, path: str) -> None:
     """A lookup table in order of its query; null coordinates are remembered misses."""
-    cache.select("query", "lat", "lon").sortWithinPartitions("query").write.mode("overwrite").parquet(path)
+    cache.select("query", "lat", "lon").orderBy("query").write.mode("overwrite").parquet(path)
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:

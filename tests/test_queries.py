@@ -12,8 +12,6 @@ from brickyard.plans.queries import ORACLES, QUERIES
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-#: Slow ones, which the oracles cover on larger tables.
-SLOW = {"rooms_vote", "floor_parse", "rooms_pattern_precision", "floor_pattern_precision"}
 
 
 @pytest.fixture(scope="module")
@@ -35,7 +33,7 @@ def rows(names, values):
     return sorted(tuple(plain(r[k]) for k in order) for r in values)
 
 
-@pytest.mark.parametrize("name", sorted(set(ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_oracle(spark, duck, name):
     got = QUERIES[name](spark, DATA)
     want = duck.sql(ORACLES[name])
