@@ -17,8 +17,10 @@ from brickyard.plans.listings import table
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-#: The day that relative dates refer to.
-TODAY = F.lit("2026-05-16").cast("date")
+
+def today() -> Column:
+    """The day that relative dates refer to."""
+    return F.lit("2026-05-16").cast("date")
 
 
 def _sql(values: list[str | None]) -> str:
@@ -129,14 +131,14 @@ cases("geocoding_texts", lambda a, c, d: {"value": F.array_join(geo.geocode_quer
 ], ("value",))
 
 cases("dates_by_form", lambda t: {
-    "iso": dates.as_text(dates.iso(t)), "numeric": dates.as_text(dates.numeric(t)), "relative": dates.as_text(dates.relative(t, TODAY)), "named": dates.as_text(dates.named_month(t, TODAY)), "ago": dates.as_text(dates.hours_ago(t, TODAY)),
-    "day": dates.as_text(dates.day_only(t, TODAY)),
+    "iso": dates.as_text(dates.iso(t)), "numeric": dates.as_text(dates.numeric(t)), "relative": dates.as_text(dates.relative(t, today())), "named": dates.as_text(dates.named_month(t, today())), "ago": dates.as_text(dates.hours_ago(t, today())),
+    "day": dates.as_text(dates.day_only(t, today())),
 }, [
     (("2026-05-01 7:05",), ("2026-05-01 07:05:00", "", "", "", "", "")), (("15.05.26 10:05",), ("", "2026-05-15 10:05:00", "", "", "", "")), (("вчора о 9:00",), ("", "", "2026-05-15 09:00:00", "", "", "")), (("15 травня 2026 р.",), ("", "", "", "2026-05-15 00:00:00", "", "")),
     (("3 години тому",), ("", "", "", "", "2026-05-16 20:59:00", "")), (("14",), ("", "", "", "", "", "2026-05-14 00:00:00")), (("31.02.2026",), ("", "", "", "", "", "")), (("7 червня о 8:15",), ("", "", "", "2026-06-07 08:15:00", "", "")),
 ], ("iso", "numeric", "relative", "named", "ago", "day"))
 
-cases("dates_published", lambda s, v, d: {"value": dates.as_text(dates.published(s, v, d, TODAY))}, [
+cases("dates_published", lambda s, v, d: {"value": dates.as_text(dates.published(s, v, d, today()))}, [
     (("OLX", "2026-05-15", "Опубліковано 10 травня"), ("2026-05-10 00:00:00",)), (("OLX", "2026-05-15", "будинок {n}"), ("2026-05-15 00:00:00",)), (("OLX", "", "огляд 12.05.2026"), ("2026-05-12 00:00:00",)), (("DIM.RIA", "", "огляд 12.05.2026"), ("",)), (("OLX", "вчора", ""), ("2026-05-15 00:00:00",)),
 ], ("value",))
 
