@@ -1,8 +1,9 @@
 """Market insights over listings: grouped statistics, trends, histograms, pivots and a composite score.
 
-Every function takes listings (see ``listings``) and returns a DataFrame; none collects. Medians and
-quartiles are exact. Groups are few (cities, districts, classes), so aggregation is partial on the
-map side and what is shuffled is a row for each group and task.
+Every function takes listings (see ``listings``) and returns a DataFrame; none collects. Groups are
+few (cities, districts, classes), so aggregation is partial on the map side and what is shuffled is a
+row for each group and task. Medians and quartiles are exact: rows are first counted by group and
+value, which spreads a group over all tasks, and quantiles are taken from the counts.
 """
 
 from __future__ import annotations
@@ -22,32 +23,53 @@ def _r(column: Column, digits: int = 4) -> Column:
     return F.round(column, digits)
 
 
-def _five(column: str) -> list[Column]:
-    """Least, quartiles and largest of a column; quartiles are interpolated."""
-    q = F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return [F.min(column).alias("low"), _r(q[0]).alias("q1"), _r(q[1]).alias("median"), _r(q[2]).alias("q3"), F.max(column).alias("high")]
+def counted(v: DataFrame, by: list[str], value: str = "price_m2") -> DataFrame:
+    """``by``, x, k: how many rows (k) of each group have each value (x)."""
+    return v.groupBy(*by, F.col(value).alias("x")).agg(F.count("*").alias("k"))
+
+
+def _median() -> Column:
+    return F.percentile("x", 0.5, F.col("k"))
+
+
+def _mean() -> Column:
+    return F.sum(F.col("x") * F.col("k")) / F.sum(F.when(F.col("x").isNotNull(), F.col("k")))
+
+
+def _deviation() -> Column:
+    """Population deviation; at least 0 where rounding would make it less."""
+    return F.sqrt(F.greatest(F.sum(F.col("x") * F.col("x") * F.col("k")) / F.sum(F.when(F.col("x").isNotNull(), F.col("k"))) - _mean() * _mean(), F.lit(0.0)))
+
+
+def _rows() -> Column:
+    return F.sum("k").alias("n")
+
+
+def _five() -> list[Column]:
+    """Least, quartiles and largest of counted values; quartiles are interpolated."""
+    q = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("k"))
+    return [F.min("x").alias("low"), _r(q[0]).alias("q1"), _r(q[1]).alias("median"), _r(q[2]).alias("q3"), F.max("x").alias("high")]
 
 
 def city_price_stats(v: DataFrame) -> DataFrame:
     """Price per square metre by city."""
-    return v.groupBy("city").agg(
-        _r(F.median("price_m2")).alias("median_m2"), _r(F.avg("price_m2")).alias("mean_m2"), _r(F.stddev_pop("price_m2")).alias("std_m2"),
-        F.min("price_m2").alias("min_m2"), F.max("price_m2").alias("max_m2"), F.count("*").alias("n"),
+    return counted(v, ["city"]).groupBy("city").agg(
+        _r(_median()).alias("median_m2"), _r(_mean()).alias("mean_m2"), _r(_deviation()).alias("std_m2"), F.min("x").alias("min_m2"), F.max("x").alias("max_m2"), _rows(),
     )
 
 
 def city_price_rollup(v: DataFrame) -> DataFrame:
     """Median and mean by city and over all (null city), in one pass of grouping sets."""
-    return v.rollup("city").agg(_r(F.median("price_m2")).alias("median_m2"), _r(F.avg("price_m2")).alias("mean_m2"), F.count("*").alias("n"))
+    return counted(v, ["city"]).rollup("city").agg(_r(_median()).alias("median_m2"), _r(_mean()).alias("mean_m2"), _rows())
 
 
 def price_box(v: DataFrame) -> DataFrame:
     """Five-number summary by city, with whiskers at 1.5 quartile ranges."""
-    q = v.groupBy("city").agg(*_five("price_m2"))
-    w = v.join(F.broadcast(q), "city")
+    c = counted(v, ["city"])
+    q = c.groupBy("city").agg(*_five())
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    inside = w.where((F.col("price_m2") >= F.col("q1") - reach) & (F.col("price_m2") <= F.col("q3") + reach))
-    whiskers = inside.groupBy("city").agg(F.min("price_m2").alias("whisker_low"), F.max("price_m2").alias("whisker_high"))
+    inside = c.join(q, "city").where((F.col("x") >= F.col("q1") - reach) & (F.col("x") <= F.col("q3") + reach))
+    whiskers = inside.groupBy("city").agg(F.min("x").alias("whisker_low"), F.max("x").alias("whisker_high"))
     return q.join(whiskers, "city")
 
 
@@ -55,10 +77,10 @@ def repair_premium(v: DataFrame) -> DataFrame:
     """Mean, median and count for each class of a fixed list; a class without rows has 0."""
     classes = F.explode(F.array(*map(F.lit, [*REPAIRS, "NONE"])))
     dimension = v.sparkSession.range(1).select(classes.alias("repair"))
-    stats = v.groupBy("repair").agg(F.avg("price_m2").alias("m"), F.median("price_m2").alias("d"), F.count("*").alias("k"))
+    stats = counted(v, ["repair"]).groupBy("repair").agg(_mean().alias("m"), _median().alias("d"), _rows())
     zero = F.lit(0.0)
     return dimension.join(stats, "repair", "left").select(
-        "repair", _r(F.coalesce("m", zero)).alias("mean_m2"), _r(F.coalesce("d", zero)).alias("median_m2"), F.coalesce("k", F.lit(0)).cast("long").alias("n")
+        "repair", _r(F.coalesce("m", zero)).alias("mean_m2"), _r(F.coalesce("d", zero)).alias("median_m2"), F.coalesce("n", F.lit(0)).cast("long").alias("n")
     )
 
 
@@ -76,7 +98,7 @@ def floor_position(floor: Column, floors: Column) -> Column:
 def floor_position_stats(v: DataFrame) -> DataFrame:
     """Price per square metre by position of the floor."""
     placed = v.withColumn("position", floor_position(F.col("floor"), F.col("floors"))).where("position is not null")
-    return placed.groupBy("position").agg(_r(F.median("price_m2")).alias("median_m2"), _r(F.avg("price_m2")).alias("mean_m2"), F.count("*").alias("n"))
+    return counted(placed, ["position"]).groupBy("position").agg(_r(_median()).alias("median_m2"), _r(_mean()).alias("mean_m2"), _rows())
 
 
 def floor_trend(v: DataFrame) -> DataFrame:
@@ -106,7 +128,7 @@ def distance_trend(v: DataFrame) -> DataFrame:
 
 def district_ranking(v: DataFrame) -> DataFrame:
     """Median by district of at least two listings, with the extremes of each city marked."""
-    d = v.where("district <> ''").groupBy("city", "district").agg(F.median("price_m2").alias("m"), F.count("*").alias("n")).where("n >= 2")
+    d = counted(v.where("district <> ''"), ["city", "district"]).groupBy("city", "district").agg(_median().alias("m"), _rows()).where("n >= 2")
     w = Window.partitionBy("city")
     return d.select(
         "city", "district", _r(F.col("m")).alias("median_m2"), "n",
@@ -122,7 +144,9 @@ def district_variability(v: DataFrame) -> DataFrame:
 
 def rooms_premium(v: DataFrame) -> DataFrame:
     """Medians for one to three rooms, and the step from the number of rooms before."""
-    g = v.where(F.col("rooms").isin(1, 2, 3)).groupBy("rooms").agg(F.median("price_m2").alias("m"), F.median("price").alias("p"), F.count("*").alias("n"))
+    long = v.where(F.col("rooms").isin(1, 2, 3)).select("rooms", F.expr("stack(2, 'm', double(price_m2), 'p', double(price)) as (measure, value)"))
+    c = counted(long, ["rooms", "measure"], "value").groupBy("rooms", "measure").agg(_median().alias("d"), _rows())
+    g = c.groupBy("rooms").agg(*[F.max(F.when(F.col("measure") == m, F.col("d"))).alias(m) for m in ("m", "p")], F.max("n").alias("n"))
     w = Window.orderBy("rooms")
     return g.select("rooms", _r(F.col("m")).alias("median_m2"), _r(F.col("p")).alias("median_price"), "n", _r(F.col("p") - F.lag("p").over(w)).alias("step"))
 
@@ -157,7 +181,7 @@ def weekly_counts(v: DataFrame) -> DataFrame:
 def fresh_vs_old(v: DataFrame, days: int = 1400) -> DataFrame:
     """Listings up to ``days`` old against the rest: median, count, share in whole percent."""
     a = v.where("pub_date is not null").withColumn("bucket", F.when(age_days(F.col("pub_date")) <= days, "fresh").otherwise("old"))
-    g = a.groupBy("bucket").agg(F.median("price_m2").alias("m"), F.count("*").alias("n"))
+    g = counted(a, ["bucket"]).groupBy("bucket").agg(_median().alias("m"), _rows())
     total = F.sum("n").over(Window.partitionBy())
     return g.select("bucket", _r(F.col("m")).alias("median_m2"), "n", F.expr("100 * n").cast("long").alias("h"), total.alias("t")).select("bucket", "median_m2", "n", F.expr("h div t").alias("pct"))
 
@@ -165,7 +189,7 @@ def fresh_vs_old(v: DataFrame, days: int = 1400) -> DataFrame:
 def source_distributions(v: DataFrame) -> DataFrame:
     """Quartiles of three measures by source."""
     long = v.select("source", F.expr("stack(3, 'price', double(price), 'area', area, 'price_m2', price_m2) as (measure, value)")).where("value is not null")
-    return long.groupBy("source", "measure").agg(*_five("value"), F.count("*").alias("n"))
+    return counted(long, ["source", "measure"], "value").groupBy("source", "measure").agg(*_five(), _rows())
 
 
 def completeness(rows: DataFrame, group: str, fields: list[str]) -> DataFrame:
@@ -208,11 +232,13 @@ def short_label(text: Column, width: int = 28) -> Column:
 
 def dashboard_summary(v: DataFrame) -> DataFrame:
     """Global and per-city medians; the median distance leaves out zero and missing ones."""
-    near = F.when(F.col("km_center") != 0, F.col("km_center"))
-    return v.rollup("city").agg(
-        _r(F.median("price")).alias("median_price"), _r(F.median("area")).alias("median_area"), _r(F.median("price_m2")).alias("median_m2"),
-        _r(F.median(near)).alias("median_km"), F.count("*").alias("n"),
-    ).select(F.coalesce("city", F.lit("ALL")).alias("city"), "median_price", "median_area", "median_m2", "median_km", "n")
+    measures = {"median_price": "double(price)", "median_area": "double(area)", "median_m2": "double(price_m2)", "median_km": "double(nullif(km_center, 0))"}
+    pairs = ", ".join(f"'{name}', {value}" for name, value in measures.items())
+    long = v.select("city", F.expr(f"stack({len(measures)}, {pairs}) as (measure, value)"))
+    # Each measure has all rows, those without a value too, so any of them counts the listings.
+    each = counted(long, ["measure", "city"], "value").rollup("measure", "city").agg(_median().alias("d"), _rows()).where("measure is not null")
+    wide = each.groupBy("city").agg(*[F.max(F.when(F.col("measure") == m, F.col("d"))).alias(m) for m in measures], F.max("n").alias("n"))
+    return wide.select(F.coalesce("city", F.lit("ALL")).alias("city"), *[_r(F.col(m)).alias(m) for m in measures], "n")
 
 
 def category_counts(v: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brickyard.operators.keyed import append_new
+from brickyard.operators.keyed import blank, first_of_key
+from brickyard.sources.listings import exists
 
 
 def first_seen(stream: DataFrame, key: str, time: str, late: str) -> DataFrame:
@@ -23,14 +24,10 @@ def append_batches(stream: DataFrame, path: str, key: str, order: list[str], che
     """Append to a table in ``path`` the rows of each batch whose key it does not have; starts and returns the query."""
 
     def add(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        try:
-            known = spark.read.schema(batch.schema).parquet(path).select(batch.columns)
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            known = batch.limit(0)
-        new = append_new(known.select(batch.columns), batch, key, order).join(known.select(key), key, "left_anti").select(batch.columns)
+        new = first_of_key(batch.where(~blank(F.col(key))), key, order)
+        if exists(batch.sparkSession, path):
+            # Of the table only the key column is read, once.
+            new = new.join(batch.sparkSession.read.schema(batch.select(key).schema).parquet(path), key, "left_anti").select(batch.columns)
         new.write.mode("append").parquet(path)
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).start()
