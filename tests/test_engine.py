@@ -143,3 +143,10 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.url for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["u1", "u2"]
+    # A later batch meets the table that is there: known keys and blank ones are left out.
+    more = spark.createDataFrame([("u2", dt.datetime(2024, 1, 9)), ("u3", dt.datetime(2024, 1, 9)), ("", dt.datetime(2024, 1, 9))], rows.schema)
+    more.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    q = streams.append_batches(source(), str(tmp_path / "out"), "url", ["ts"], str(tmp_path / "check"))
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(r.url for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["u1", "u2", "u3"]
