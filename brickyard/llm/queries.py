@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, hnsw, jaccard, pii, quality, substring, toxicity, urlfilter, warc
+from . import bpe, decontaminate, divergence, hnsw, jaccard, licenses, merkle, pii, quality, substring, toxicity, urlfilter, warc
 from .common import fold, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -108,11 +110,33 @@ def op7_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How every source's words differ from the other sources' and from the language's."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Merkle tree over all documents, and the check of documents whose line ends were partly deleted."""
+    docs = table(spark, sf_dir, "documents")
+    return merkle.manifest(docs, merkle.without_newlines(docs))
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences that documents name or quote."""
+    return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_bpe, op2_jaccard, op3_near_vectors, op4_substring, op5_quality, op6_toxicity, op7_urlfilter, op8_decontaminate, op9_warc, op10_pii)
+    for f in (
+        op1_bpe, op2_jaccard, op3_near_vectors, op4_substring, op5_quality, op6_toxicity, op7_urlfilter, op8_decontaminate, op9_warc, op10_pii,
+        op11_divergence, op12_merkle, op13_licenses,
+    )
 }
 
+#: The remainders of crc32, by its rule.
+_CRC = ", ".join(str(reduce(lambda c, _: c >> 1 ^ 0xEDB88320 * (c & 1), range(8), k)) for k in range(256))
+
 _REACH = """
 , reach(x, y) AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
 , low AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
@@ -188,5 +212,71 @@ q AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS f FROM p)
 SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN n >= 100 AND page_id <> f THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN n >= 100 AND page_id <> f THEN f END AS refers_to
 FROM q
+""",
+    "op11_divergence": """
+WITH docs AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents
+), seen AS (SELECT d, lang, source, unnest(w) AS t FROM docs),
+kept AS (SELECT lang, t FROM seen GROUP BY lang, t HAVING count(DISTINCT d) >= 10),
+counts AS (SELECT lang, source, t, count(*) AS c FROM seen SEMI JOIN kept USING (lang, t) GROUP BY ALL),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+grid AS (
+  SELECT g.lang, g.source, k.t, coalesce(c, 0) AS c FROM (SELECT DISTINCT lang, source FROM docs) g JOIN kept k USING (lang) LEFT JOIN counts USING (lang, source, t)
+), shares AS (
+  SELECT lang, source, t, c, 1 + 1000000000 * (c + 2)::HUGEINT // (sum(c) OVER (PARTITION BY lang, source) + 2 * v) AS p FROM grid JOIN sizes USING (lang)
+), whole AS (
+  SELECT lang, t, 1 + 1000000000 * (c + 2)::HUGEINT // (sum(c) OVER (PARTITION BY lang) + 2 * v) AS q
+  FROM (SELECT lang, t, sum(c) AS c FROM counts GROUP BY lang, t) JOIN sizes USING (lang)
+), found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL
+  UNION ALL
+  SELECT a.lang, a.source, 'pair', b.source, 0 FROM (SELECT DISTINCT lang, source FROM docs) a JOIN (SELECT DISTINCT lang, source FROM docs) b ON a.lang = b.lang AND a.source <> b.source
+  WHERE a.lang NOT IN (SELECT lang FROM kept)
+  UNION ALL
+  SELECT lang, source, 'term', t, (p - q) * (p - q) // (p + q) FROM shares JOIN whole USING (lang, t) WHERE c > 0 AND p > q
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM found QUALIFY part = 'pair' OR rank <= 10
+""",
+    "op12_merkle": f"""
+WITH RECURSIVE fields AS (
+  SELECT doc_id, source, coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+      || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(CAST(n_chars AS VARCHAR))) || ':' || n_chars, '-') AS head, text,
+    list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+      lambda c, b: xor(c >> 8, [{_CRC}][1 + (xor(c, b) & 255)])) & 1 AS odd
+  FROM documents
+), texts AS (SELECT *, CASE WHEN odd = 1 THEN replace(text, chr(10), '') ELSE text END AS now FROM fields),
+leaves AS (
+  SELECT doc_id, source, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf, sha256(head || coalesce(octet_length(encode(now)) || ':' || now, '-')) AS altered FROM texts
+), placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM leaves),
+low AS (
+  SELECT source, 0 AS l, i, leaf AS h, count(*) OVER (PARTITION BY source) AS n FROM placed
+  UNION ALL
+  SELECT source, l + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), any_value((n + 2) // 3) FROM low WHERE n > 1 GROUP BY source, l, i // 3
+), tops AS (SELECT source, l, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM low WHERE n = 1),
+high AS (
+  SELECT 0 AS l, i, h, n FROM tops
+  UNION ALL
+  SELECT l + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), any_value((n + 2) // 3) FROM high WHERE n > 1 GROUP BY l, i // 3
+), climb AS (
+  SELECT row_number() OVER () AS id, p.doc_id, p.source, p.leaf, p.altered, p.i, t.i AS top, t.h AS subroot, t.l AS height FROM placed p JOIN tops t ON p.source IS NOT DISTINCT FROM t.source
+), runs AS (
+  SELECT source, l, i // 3 AS r, list(struct_pack(i := i, h := h) ORDER BY i) AS m FROM low WHERE n > 1 GROUP BY source, l, i // 3
+), tall AS (SELECT l, i // 3 AS r, list(struct_pack(i := i, h := h) ORDER BY i) AS m FROM high WHERE n > 1 GROUP BY l, i // 3),
+up AS (
+  SELECT id, source, top, height, 0 AS l, i, altered AS h, '' AS proof FROM climb
+  UNION ALL
+  SELECT id, source, top, height, l + 1, CASE WHEN l + 1 = height THEN top ELSE i // 3 END, sha256(list_aggregate(list_transform(m, lambda x: CASE WHEN x.i = i THEN h ELSE x.h END), 'string_agg', '')),
+    proof || coalesce(list_aggregate(list_transform(list_filter(m, lambda x: x.i <> i), lambda x: x.h), 'string_agg', ''), '')
+  FROM (
+    SELECT up.*, coalesce(runs.m, tall.m) AS m FROM up LEFT JOIN runs ON up.l < height AND runs.source IS NOT DISTINCT FROM up.source AND runs.l = up.l AND runs.r = up.i // 3
+    LEFT JOIN tall ON up.l >= height AND tall.l = up.l - height AND tall.r = (CASE WHEN up.l = height THEN top ELSE up.i END) // 3
+  ) WHERE m IS NOT NULL
+), ends AS (SELECT id, h, proof FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY l DESC) AS k FROM up) WHERE k = 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, ends.h AS folded_root, ends.h = root AS verified
+FROM climb JOIN ends USING (id), (SELECT h AS root FROM high WHERE n = 1)
 """,
 }
