@@ -50,15 +50,15 @@ bsd-3-clause-clear :: bsd clear :: bsd 3 clause clear licen[cs]e|clear bsd licen
 bsd-1-clause :: bsd :: bsd 1 clause(?: licen[cs]e)? :: bsd 1 clause
 bsd-patent :: bsd patent :: bsd 2 clause plus patent(?: licen[cs]e)? :: bsd 2 clause patent
 gpl-1 :: gnu :: gnu (?:gpl|general public licen[cs]e)(?: version| v)? ?1(?: 0)? :: gpl 1 0(?: only| or later)?
-gpl-2 :: gpl, general :: (?:gnu )?(?:gpl|general public licen[cs]e)(?: version| v)? ?2(?: 0)?(?: or (?:any )?later)? :: gpl 2 0(?: only| or later)?
+gpl-2 :: gpl, gpl2, general :: (?:gnu )?(?:gpl|general public licen[cs]e)(?: version| v)? ?2(?: 0)?(?: or (?:any )?later)? :: gpl 2 0(?: only| or later)?
 gpl-2 :: gplv2 :: (?:gnu )?gplv2(?: or later)? :: gplv2
-gpl-3 :: gpl, general :: (?:gnu )?(?:gpl|general public licen[cs]e)(?: version| v)? ?3(?: 0)?(?: or (?:any )?later)? :: gpl 3 0(?: only| or later)?
+gpl-3 :: gpl, gpl3, general :: (?:gnu )?(?:gpl|general public licen[cs]e)(?: version| v)? ?3(?: 0)?(?: or (?:any )?later)? :: gpl 3 0(?: only| or later)?
 gpl-3 :: gplv3 :: (?:gnu )?gplv3(?: or later)? :: gplv3
 gpl :: gnu :: gnu (?:gpl|general public licen[cs]e) :: gpl
 lgpl-2 :: library :: (?:gnu )?library general public licen[cs]e(?: version| v)? ?2(?: 0)? :: lgpl 2 0(?: only| or later)?
-lgpl-2.1 :: lgpl, lesser :: (?:gnu )?(?:lgpl|lesser general public licen[cs]e)(?: version| v)? ?2 1(?: or (?:any )?later)? :: lgpl 2 1(?: only| or later)?
+lgpl-2.1 :: lgpl, lgpl2, lesser :: (?:gnu )?(?:lgpl|lesser general public licen[cs]e)(?: version| v)? ?2 1(?: or (?:any )?later)? :: lgpl 2 1(?: only| or later)?
 lgpl-2.1 :: lgplv2 :: (?:gnu )?lgplv2(?: 1)? :: lgplv2(?: 1)?
-lgpl-3 :: lgpl, lesser :: (?:gnu )?(?:lgpl|lesser general public licen[cs]e)(?: version| v)? ?3(?: 0)?(?: or (?:any )?later)? :: lgpl 3 0(?: only| or later)?
+lgpl-3 :: lgpl, lgpl3, lesser :: (?:gnu )?(?:lgpl|lesser general public licen[cs]e)(?: version| v)? ?3(?: 0)?(?: or (?:any )?later)? :: lgpl 3 0(?: only| or later)?
 lgpl-3 :: lgplv3 :: (?:gnu )?lgplv3 :: lgplv3
 lgpl :: lesser :: (?:gnu )?lesser general public licen[cs]e :: lgpl
 agpl-3 :: affero :: (?:gnu )?affero (?:gpl|general public licen[cs]e)(?: version| v)? ?3(?: 0)? :: agpl 3 0(?: only| or later)?
@@ -96,7 +96,7 @@ polyform-small-business :: polyform small :: polyform small business licen[cs]e(
 unlicense :: unlicense :: the unlicense :: unlicense
 wtfpl :: wtfpl :: wtfpl(?: version 2| v2)? :: wtfpl
 zlib :: zlib :: zlib(?: libpng)? licen[cs]e :: zlib
-libpng :: libpng :: (?:png reference library|libpng) licen[cs]e(?: version 2)? :: libpng(?: 2 0)?
+libpng :: libpng, png :: (?:png reference library|libpng) licen[cs]e(?: version 2)? :: libpng(?: 2 0)?
 curl :: curl :: curl licen[cs]e :: curl
 openssl :: openssl :: openssl licen[cs]e|openssl ssleay licen[cs]e :: openssl
 python-2 :: python, psf :: python software foundation licen[cs]e(?: version 2)?|psf licen[cs]e(?: agreement)? :: (?:psf|python) 2 0
@@ -166,7 +166,7 @@ mit :: 0 :: 0.9 :: substantial portions :: the above copyright notice and this p
 mit :: 0 :: 0.7 :: merchantability noninfringement :: the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement
 mit :: 1 :: 0.8 :: mit copyright :: mit licen[cs]e copyright(?: c)? (?:19|20)[0-9][0-9]
 mit :: 3 :: 0.7 :: mit :: mit licen[cs]ed
-mit :: 2 :: 0.9 :: opensource mit :: opensource org licen[cs]es? mit
+mit :: 2 :: 0.9 :: opensource mit :: opensource org licenses? mit
 mit :: 3 :: 0.7 :: expat :: expat licen[cs]e
 isc :: 0 :: 1.0 :: hereby fee :: permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
 isc :: 0 :: 0.6 :: disclaims author :: the software is provided as is and the author disclaims all warranties with regard to this software
@@ -187,14 +187,14 @@ gpl-3 :: 0 :: 1.0 :: redistribute 3 :: you can redistribute it and or modify it
 gpl :: 0 :: 0.8 :: gnu received :: you should have received a copy of the gnu general public license along with this (?:program|software|library|file)
 gpl :: 0 :: 0.7 :: hope useful :: this program is distributed in the hope that it will be useful but without any warranty
 gpl-3 :: 0 :: 0.9 :: copyleft gnu :: the gnu general public license is a free copyleft license for software and other kinds of works
-gpl :: 2 :: 0.8 :: gnu licenses :: (?:www )?gnu org licen[cs]es gpl(?: [23] 0)?(?: html| txt)?
+gpl :: 2 :: 0.8 :: gnu licenses :: (?:www )?gnu org licenses gpl(?: [23] 0)?(?: html| txt)?
 gpl :: 4 :: 0.5 :: gpl, gpled :: gpl(?:ed)?(?: licen[cs]ed?)?
 lgpl-2.1 :: 0 :: 1.0 :: redistribute lesser :: you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1
 lgpl-3 :: 0 :: 1.0 :: redistribute lesser :: you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3
-lgpl :: 2 :: 0.8 :: gnu licenses :: (?:www )?gnu org licen[cs]es lgpl(?: 2 1| 3 0)?(?: html| txt)?
+lgpl :: 2 :: 0.8 :: gnu licenses :: (?:www )?gnu org licenses lgpl(?: 2 1| 3 0)?(?: html| txt)?
 lgpl :: 4 :: 0.5 :: lgpl :: lgpl(?: licen[cs]ed?)?
 agpl-3 :: 0 :: 1.0 :: affero published :: under the terms of the gnu affero general public license as published by the free software foundation either version 3
-agpl :: 2 :: 0.8 :: gnu licenses :: (?:www )?gnu org licen[cs]es agpl(?: 3 0)?(?: html| txt)?
+agpl :: 2 :: 0.8 :: gnu licenses :: (?:www )?gnu org licenses agpl(?: 3 0)?(?: html| txt)?
 agpl :: 4 :: 0.5 :: agpl :: agpl(?: licen[cs]ed?)?
 gfdl :: 0 :: 1.0 :: permission documentation :: permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license
 gfdl :: 1 :: 0.8 :: invariant cover :: with no invariant sections no front cover texts and no back cover texts
@@ -226,12 +226,12 @@ ms-pl :: 0 :: 0.9 :: governs accompanying :: this license governs use of the acc
 cc0 :: 0 :: 1.0 :: waived extent :: to the extent possible under law (?:[^ ]+ ){1,12}waived all copyright and related or neighboring rights
 cc0 :: 2 :: 0.9 :: publicdomain zero :: creativecommons org publicdomain zero 1 0
 cc-pdm :: 2 :: 0.9 :: publicdomain mark :: creativecommons org publicdomain mark 1 0
-cc-by :: 2 :: 0.9 :: creativecommons by :: creativecommons org licen[cs]es by(?: [1-4] [05])?
-cc-by-sa :: 2 :: 0.9 :: creativecommons sa :: creativecommons org licen[cs]es by sa(?: [1-4] [05])?
-cc-by-nd :: 2 :: 0.9 :: creativecommons nd :: creativecommons org licen[cs]es by nd(?: [1-4] [05])?
-cc-by-nc :: 2 :: 0.9 :: creativecommons nc :: creativecommons org licen[cs]es by nc(?: [1-4] [05])?
-cc-by-nc-sa :: 2 :: 0.9 :: creativecommons nc sa :: creativecommons org licen[cs]es by nc sa(?: [1-4] [05])?
-cc-by-nc-nd :: 2 :: 0.9 :: creativecommons nc nd :: creativecommons org licen[cs]es by nc nd(?: [1-4] [05])?
+cc-by :: 2 :: 0.9 :: creativecommons by :: creativecommons org licenses by(?: [1-4] [05])?
+cc-by-sa :: 2 :: 0.9 :: creativecommons sa :: creativecommons org licenses by sa(?: [1-4] [05])?
+cc-by-nd :: 2 :: 0.9 :: creativecommons nd :: creativecommons org licenses by nd(?: [1-4] [05])?
+cc-by-nc :: 2 :: 0.9 :: creativecommons nc :: creativecommons org licenses by nc(?: [1-4] [05])?
+cc-by-nc-sa :: 2 :: 0.9 :: creativecommons nc sa :: creativecommons org licenses by nc sa(?: [1-4] [05])?
+cc-by-nc-nd :: 2 :: 0.9 :: creativecommons nc nd :: creativecommons org licenses by nc nd(?: [1-4] [05])?
 cc-by :: 3 :: 0.7 :: cc by :: cc by(?: [1-4] [05])?(?: licen[cs]e)?
 cc-by-sa :: 3 :: 0.8 :: cc sa :: cc by sa(?: [1-4] [05])?(?: licen[cs]e)?
 cc-by-nd :: 3 :: 0.8 :: cc nd :: cc by nd(?: [1-4] [05])?(?: licen[cs]e)?
@@ -242,9 +242,9 @@ cc-by-4 :: 0 :: 0.9 :: appropriate credit :: you must give appropriate credit pr
 cc-by-nc :: 1 :: 0.8 :: material commercial :: you may not use the material for commercial purposes
 cc-by-nd :: 1 :: 0.8 :: remix distribute :: if you remix transform or build upon the material you may not distribute the modified material
 cc-by-sa :: 1 :: 0.8 :: remix contributions :: if you remix transform or build upon the material you must distribute your contributions under the same license as the original
-odbl-1 :: 2 :: 0.9 :: opendatacommons odbl :: opendatacommons org licen[cs]es odbl(?: 1 0)?
-odc-by-1 :: 2 :: 0.9 :: opendatacommons by :: opendatacommons org licen[cs]es by(?: 1 0)?
-pddl-1 :: 2 :: 0.9 :: opendatacommons pddl :: opendatacommons org licen[cs]es pddl(?: 1 0)?
+odbl-1 :: 2 :: 0.9 :: opendatacommons odbl :: opendatacommons org licenses odbl(?: 1 0)?
+odc-by-1 :: 2 :: 0.9 :: opendatacommons by :: opendatacommons org licenses by(?: 1 0)?
+pddl-1 :: 2 :: 0.9 :: opendatacommons pddl :: opendatacommons org licenses pddl(?: 1 0)?
 ogl-3 :: 0 :: 0.9 :: government sector :: contains public sector information licen[cs]ed under the open government licen[cs]e(?: v3 0| v2 0)?
 public-domain :: 2 :: 0.8 :: domain public :: (?:is |are |has been |have been )?(?:hereby )?(?:dedicated to|placed in|released (?:in)?to) the public domain
 public-domain :: 3 :: 0.6 :: domain :: (?:is|are) (?:in|part of) the public domain
