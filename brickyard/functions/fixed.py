@@ -261,3 +261,21 @@ CHALLENGE_MARKERS = ("триває перевірка безпеки", "just a m
 
 #: Parts of a page's text that mean the reader was taken for a robot.
 BLOCKED_MARKERS = ("підозрілу активність", "suspicious activity", "captcha", "перевірте, що ви не робот", "verify you are human")
+
+#: Numbers that describe a picture, in order.
+PICTURE_FEATURES = (
+    "rgb_mean_r", "rgb_mean_g", "rgb_mean_b", "rgb_std_r", "rgb_std_g", "rgb_std_b", "hsv_sat_mean", "hsv_sat_std", "hsv_val_mean", "hsv_val_std", "gray_mean", "gray_std",
+    "edge_density", "laplacian_var", "dark_ratio", "bright_ratio", "neutral_ratio", "colorfulness", "entropy", *(f"hist_{c}_{k}" for c in "rgb" for k in range(8)),
+)
+
+#: Gradients from which an edge is weak and strong; gray below and above which a pixel is dark and bright; saturation below which it is neutral.
+EDGE_LEVELS, DARK, BRIGHT, NEUTRAL = (80, 160), 45, 215, 0.12
+
+#: Weights of red, green and blue in gray, of 2^15; the tangent of 22.5 degrees, of 2^15.
+LUMA_WEIGHTS, TANGENT_22 = (9798, 19235, 3735), 13573
+
+#: Pictures below this size are not kept.
+LEAST_WIDTH, LEAST_HEIGHT = 160, 120
+
+#: The least probability of a picture model's answer, and pictures of a listing that are looked at.
+LEAST_CONFIDENCE, MOST_PICTURES = 0.62, 4
