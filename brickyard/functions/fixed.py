@@ -279,3 +279,13 @@ LEAST_WIDTH, LEAST_HEIGHT = 160, 120
 
 #: The least probability of a picture model's answer, and pictures of a listing that are looked at.
 LEAST_CONFIDENCE, MOST_PICTURES = 0.62, 4
+
+#: How a reader of pages names itself.
+USER_AGENT = "brickyard/1.0 (listing reader)"
+ACCEPT_LANGUAGE = "uk-UA,uk;q=0.9,en;q=0.8"
+
+#: The id in a spreadsheet's address, where its service is, its cells at most, rows sent at once, and the color of a header.
+SHEET_URL = r"/spreadsheets/d/([a-zA-Z0-9-_]+)"
+SHEET_ENDPOINT = "https://sheets.googleapis.com"
+SHEET_CELLS, SHEET_BATCH = 10_000_000, 2_000
+SHEET_HEADER_COLOR = (0.88, 0.94, 1.0)

@@ -287,7 +287,7 @@ def is_blocked_text(text: Column) -> Column:
 
 def sheet_id(url: Column) -> Column:
     """The id in a spreadsheet's url, or the text itself."""
-    found = F.regexp_extract(url, r"/spreadsheets/d/([a-zA-Z0-9-_]+)", 1)
+    found = F.regexp_extract(url, fixed.SHEET_URL, 1)
     return F.when(found != "", found).otherwise(url)
 
 

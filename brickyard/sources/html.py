@@ -8,13 +8,16 @@ nothing is shuffled. What can be read with patterns is left to column expression
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
+from pyspark.sql.udtf import UserDefinedTableFunction
 
 from brickyard.functions import fixed, geo, text
 
@@ -143,26 +146,53 @@ CARDS: dict[str, tuple[tuple[str | None, str | None, str | None], Callable[[Node
 }
 
 _FIELDS = ("href", "title", "price_text", "location", "lat", "lon", "date", "description", "floor_text", "text")
+_CARD = "pos int, " + ", ".join(f"`{x}` string" for x in _FIELDS)
 
 
-def cards(pages: DataFrame) -> DataFrame:
-    """(source, city, base_url, pos, fields of a card) for each card of pages (source, city, base_url, html).
+def _read_cards(source: str | None, html: str | None) -> Iterator[tuple]:
+    """(pos, fields) of each card of a page; sources without a rule have none."""
+    if source in CARDS:
+        where, fields = CARDS[source]
+        for k, card in enumerate(parse(html).find(where)):
+            got = fields(card) | {"text": card.text()}
+            yield k, *(got.get(x, "") for x in _FIELDS)
+
+
+def _reader_of(source: str) -> UserDefinedTableFunction:
+    class OneSource:
+        def eval(self, html: str):
+            yield from _read_cards(source, html)
+
+    return udtf(OneSource, returnType=_CARD, useArrow=True)
+
+
+class _AnySource:
+    def eval(self, source: str, html: str):
+        yield from _read_cards(source, html)
 
-    Sources without a rule, and those whose pages cannot be read, give none.
-    """
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for source, city, base, html in zip(f.source, f.city, f.base_url, f.html):
-                if source in CARDS:
-                    where, fields = CARDS[source]
-                    for k, card in enumerate(parse(html).find(where)):
-                        got = fields(card) | {"text": card.text()}
-                        rows.append((source, city, base, k, *(got.get(x, "") for x in _FIELDS)))
-            yield pd.DataFrame(rows, columns=["source", "city", "base_url", "pos", *_FIELDS])
+#: The registry of extractors: a table function of a page's html for each source. Pages are joined with them laterally.
+EXTRACTORS: dict[str, UserDefinedTableFunction] = {source: _reader_of(source) for source in CARDS}
 
-    return pages.select("source", "city", "base_url", "html").mapInPandas(work, "source string, city string, base_url string, pos int, " + ", ".join(f"`{x}` string" for x in _FIELDS))
+#: The registry as one table function of (source, html), so that pages of all sources are read once.
+any_source = udtf(_AnySource, returnType=_CARD, useArrow=True)
+
+
+def register_extractors(spark: SparkSession) -> dict[str, str]:
+    """Make the extractors known to SQL; the names of their functions by source, and ``cards`` for any source."""
+    names = {source: "cards_" + re.sub("[^a-z]+", "_", source.lower()) for source in EXTRACTORS}
+    for source, name in names.items():
+        spark.udtf.register(name, EXTRACTORS[source])
+    spark.udtf.register("cards", any_source)
+    return names
+
+
+def cards(pages: DataFrame) -> DataFrame:
+    """Each page (source, html, ...) with ``pos`` and the fields of each of its cards; the html is left out.
+
+    Sources without a rule, and those whose pages cannot be read, give none. Each page is parsed where it is.
+    """
+    return pages.lateralJoin(any_source(F.col("source").outer(), F.col("html").outer())).drop("html")
 
 
 def _quoted(city: Column) -> Column:
@@ -174,8 +204,8 @@ def _after(value: Column, city: Column, before: str, after: str, n: int = 1) ->
     return F.trim(F.call_function("regexp_extract", value, pattern, F.lit(n)))
 
 
-def listings_from_cards(found: DataFrame, rate: float = fixed.UAH_RATE) -> DataFrame:
-    """Raw listings from cards that have a link and a price; what a source does not tell is ""."""
+def listings_from_cards(found: DataFrame, rate: float = fixed.UAH_RATE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Raw listings from cards that have a link and a price; what a source does not tell is "". ``keep`` names columns of the page."""
     t, city, source = F.col("text"), F.col("city"), F.col("source")
     is_rem, is_dim, is_olx, is_rieltor = (source == s for s in ("REM.ua", "DIM.RIA", "OLX", "RIELTOR"))
     price = F.when(is_rem | is_rieltor, text.price_usd(F.col("price_text"))).when(source == "OBYAVA.ua", text.price_usd(t, rate)).otherwise(text.price_usd(t))
@@ -196,7 +226,7 @@ def listings_from_cards(found: DataFrame, rate: float = fixed.UAH_RATE) -> DataF
     rows = found.withColumn("price", price).where((F.col("href") != "") & F.col("price").isNotNull())
     floor = text.floor(t)
     return rows.select(
-        "pos", "source", text.absolute_url(F.col("href"), F.col("base_url")).alias("url"), "city", F.col("price").cast("string").alias("price"), F.lit("").alias("телефон"), address.alias("adress"),
+        *keep, "pos", "source", text.absolute_url(F.col("href"), F.col("base_url")).alias("url"), "city", F.col("price").cast("string").alias("price"), F.lit("").alias("телефон"), address.alias("adress"),
         text.area(t).alias("площа"), text.rooms(t).alias("кількість кімнат"), floor["floor"].alias("поверх"), floor["floors"].alias("поверховість"), text.balcony(t).alias("балкон"),
         district.alias("район"), F.coalesce(F.format_string("%.1f", km), F.lit("")).alias("км від центру"), F.when(is_rem, geo.maps_url(lat, lon)).otherwise("").alias("url_google_maps"),
         date.alias("дата публікації"), F.lit("").alias("ремонт"), F.when(is_rem, F.col("description")).otherwise(F.substring(t, F.lit(1), long)).alias("опис"),
