@@ -289,3 +289,7 @@ SHEET_URL = r"/spreadsheets/d/([a-zA-Z0-9-_]+)"
 SHEET_ENDPOINT = "https://sheets.googleapis.com"
 SHEET_CELLS, SHEET_BATCH = 10_000_000, 2_000
 SHEET_HEADER_COLOR = (0.88, 0.94, 1.0)
+
+#: Least scores of the models' answers, and sources whose addresses are always taken from their urls.
+LEAST_SCORES = {"address": 2.2, "rooms": 1.6, "floor": 1.7}
+REPLACE_ADDRESS_SOURCES = ("OLX",)

@@ -340,6 +340,10 @@ def _table(*tables: dict[str, str]) -> Column:
 
 def place_tokens(tokens: Column) -> Column:
     """At most four tokens: from the first place marker within seven, else those that are known."""
+    return let(tokens, _place_tokens)
+
+
+def _place_tokens(tokens: Column) -> Column:
     markers = F.array(*map(F.lit, fixed.PLACE_MARKERS))
     known = F.array(*map(F.lit, dict.fromkeys([*fixed.PLACE_MARKERS, *fixed.TOKEN_WORDS, *fixed.KNOWN_NAMES])))
     at = F.array_position(F.transform(tokens, lambda t: F.array_contains(markers, t)), F.lit(True)).cast("int")
@@ -348,28 +352,38 @@ def place_tokens(tokens: Column) -> Column:
 
 def _shorten(text: Column, tail: str) -> Column:
     """A complex's name cut to four words, and no dangling word at the end."""
-    words = F.split(text, " ")
-    long = F.lower(text).startswith("жк ") & (F.size(words) > 4)
-    cut = F.when(long, F.array_join(F.slice(words, 1, 4), " ")).otherwise(text)
-    return F.regexp_replace(cut, rf"(?iuU)(?:(?:^|\s+)(?:{tail}))+$", "")
+    def cut(t: Column) -> Column:
+        words = F.split(t, " ")
+        long = F.lower(t).startswith("жк ") & (F.size(words) > 4)
+        return F.when(long, F.array_join(F.slice(words, 1, 4), " ")).otherwise(t)
+
+    return F.regexp_replace(let(text, cut), rf"(?iuU)(?:(?:^|\s+)(?:{tail}))+$", "")
 
 
 def place_name(tokens: Column) -> Column:
     """An address in words from url tokens; "" where it is too vague."""
+    return let(tokens, _place_name)
+
+
+def _place_name(tokens: Column) -> Column:
     table = _table(fixed.TOKEN_WORDS, fixed.KNOWN_NAMES)
     known = F.array(*map(F.lit, dict.fromkeys([*fixed.TOKEN_WORDS, *fixed.KNOWN_NAMES])))
     words = F.transform(tokens, lambda t: F.coalesce(table[t], F.concat(F.upper(F.substring(t, 1, 1)), F.lower(F.substring(t, 2, 1000)))))
-    text = strip(F.array_join(words, " "), " ,.-")
-    low = F.lower(text)
-    text = F.when(low.isin(*fixed.WEAK_ADDRESSES) | low.rlike("ідеальная|идеальная|сьогодні|сегодня"), "").otherwise(_shorten(text, "на|po|pod|iz|n"))
-    marked = F.lower(text).rlike(r"вул\.|просп\.|пров\.|дорога|бульв\.|площа|ж/м")
-    return F.when(marked | F.exists(tokens, lambda t: F.array_contains(known, t)), text).otherwise("")
+
+    def named(text: Column) -> Column:
+        low = F.lower(text)
+        return F.when(low.isin(*fixed.WEAK_ADDRESSES) | low.rlike("ідеальная|идеальная|сьогодні|сегодня"), "").otherwise(_shorten(text, "на|po|pod|iz|n"))
+
+    def marked(text: Column) -> Column:
+        found = F.lower(text).rlike(r"вул\.|просп\.|пров\.|дорога|бульв\.|площа|ж/м")
+        return F.when(found | F.exists(tokens, lambda t: F.array_contains(known, t)), text).otherwise("")
+
+    return let(let(strip(F.array_join(words, " "), " ,.-"), named), marked)
 
 
 def url_address(url: Column) -> Column:
     """The address that a listing's url names; "" where it names none."""
-    name = place_name(place_tokens(slug_tokens(url)))
-    return F.when(F.length(name) >= 3, name).otherwise("")
+    return let(place_name(place_tokens(slug_tokens(url))), lambda name: F.when(F.length(name) >= 3, name).otherwise(""))
 
 
 # Addresses in descriptions.
@@ -408,5 +422,8 @@ def title_words(text: Column) -> Column:
 
 def weak_address(address: Column) -> Column:
     """Whether an existing address may be replaced."""
-    n = F.lower(normal_address(address))
+    return let(F.lower(normal_address(address)), _is_weak)
+
+
+def _is_weak(n: Column) -> Column:
     return (n == "") | n.isin(*fixed.BAD_ADDRESSES, *fixed.REPLACEABLE_ADDRESSES) | (n.startswith("жк ") & (F.size(F.split(n, " ")) > 4))

@@ -254,9 +254,13 @@ def score_addresses(candidates: DataFrame, rows: DataFrame, model: dict[str, Dat
 
     A candidate's words meet the model's tokens by equi-joins, once each, and are counted back.
     """
-    c = candidates.join(rows.select("ord", "source", "city"), "ord").withColumn("value", normal_address(F.col("value"))).withColumn("low", F.lower("value"))
-    fine = ~F.col("low").isin(*fixed.BAD_ADDRESSES) & ~F.col("low").rlike(r"идеальная|ідеальная|сегодня|сьогодні|\d{1,2}:\d{2}") & (F.col("value") != "")
-    c = c.where(fine).withColumn("words", F.array_distinct(tokens(F.col("value"))))
+    def fine(v: Column) -> Column:
+        return ~F.lower(v).isin(*fixed.BAD_ADDRESSES) & ~F.lower(v).rlike(r"идеальная|ідеальная|сегодня|сьогодні|\d{1,2}:\d{2}") & (v != "")
+
+    # An array of one, so that the steps of the normal form are taken once, not again in each condition pushed below them.
+    once = F.filter(F.transform(F.array("value"), normal_address), fine)
+    c = candidates.select("ord", "turn", "kind", "score", F.explode(once).alias("value")).join(rows.select("ord", "source", "city"), "ord")
+    c = c.withColumn("low", F.lower("value")).withColumn("words", F.array_distinct(tokens(F.col("value"))))
     spread = c.select("ord", "turn", "city", F.explode("words").alias("token"))
     token = model["tokens"].select("token", F.lit(1).alias("in_all"))
     local = model["city_tokens"].select("city", "token", F.lit(1).alias("in_city"))
