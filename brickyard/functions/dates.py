@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from brickyard.functions import fixed
-from brickyard.functions.text import clean, find_all, group, has, let
+from brickyard.functions.text import _i, clean, group, has, let
 
 
 def _n(text: Column, default: Column | None = None) -> Column:
@@ -24,27 +24,35 @@ def _moment(year: Column, month: Column, day: Column, hour: Column, minute: Colu
     return F.try_make_timestamp_ntz(year, month, day, hour, minute, (F.lit(0) if second is None else second).cast("decimal(16,6)"))
 
 
+def _parts(found: Column, use, separators: str = r"[^0-9]+") -> Column:
+    """``use`` of what stands between separators in a match; null where nothing was found. The text is searched once for all parts."""
+    return let(F.when(found != "", F.split(found, separators)), lambda x: F.when(x.isNotNull(), use(lambda k: _n(F.get(x, F.lit(k))))))
+
+
 def iso(text: Column) -> Column:
     """``yyyy-MM-dd`` with or without a time."""
-    p = r"\b(\d{4})-(\d{2})-(\d{2})(?:[ T](\d{1,2}):(\d{2})(?::(\d{2}))?)?\b"
-    g = [_n(group(text, p, k)) for k in range(1, 7)]
-    return F.when(F.contains(text, F.lit("-")) & g[0].isNotNull(), _moment(g[0], g[1], g[2], *[F.coalesce(x, F.lit(0)) for x in g[3:]]))
+    def moment(at) -> Column:
+        return _moment(at(0), at(1), at(2), *[F.coalesce(at(k), F.lit(0)) for k in (3, 4, 5)])
+
+    return F.when(F.contains(text, F.lit("-")), _parts(F.regexp_extract(text, _i(fixed.DATE_ISO), 0), moment))
 
 
 def numeric(text: Column) -> Column:
     """``dd.MM.yyyy`` with points, slashes or hyphens, two-digit years in this century, with or without a time."""
-    p = r"\b(\d{1,2})[./-](\d{1,2})[./-](\d{2,4})(?:\s+(\d{1,2}):(\d{2}))?\b"
-    d, m, y, h, mi = [_n(group(text, p, k)) for k in range(1, 6)]
-    return F.when(text.rlike(r"[./-]..?[./-]") & d.isNotNull(), _moment(F.when(y < 100, y + 2000).otherwise(y), m, d, F.coalesce(h, F.lit(0)), F.coalesce(mi, F.lit(0))))
+    def moment(at) -> Column:
+        return _moment(F.when(at(2) < 100, at(2) + 2000).otherwise(at(2)), at(1), at(0), F.coalesce(at(3), F.lit(0)), F.coalesce(at(4), F.lit(0)))
+
+    return F.when(text.rlike(r"[./-]..?[./-]"), _parts(F.regexp_extract(text, _i(fixed.DATE_NUMERIC), 0), moment))
 
 
 def relative(text: Column, today: Column) -> Column:
     """Today or yesterday, at the first time named."""
     low = F.lower(text)
-    named = reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in ("сьогодні", "сегодня", "вчора", "вчера")])
     day = F.when(low.rlike(r"(?U)\b(?:сьогодні|сегодня)\b"), today).when(low.rlike(r"(?U)\b(?:вчора|вчера)\b"), F.date_sub(today, 1))
-    h, m = _n(group(low, r"(\d{1,2}):(\d{2})", 1), F.lit(0)), _n(group(low, r"(\d{1,2}):(\d{2})", 2), F.lit(0))
-    return F.when(named & day.isNotNull(), _moment(F.year(day), F.month(day), F.dayofmonth(day), h, m))
+    time = F.regexp_extract(text, fixed.CLOCK, 0)
+    h, m = (_n(F.split_part(time, F.lit(":"), F.lit(k)), F.lit(0)) for k in (1, 2))
+    named = reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in ("сьогодні", "сегодня", "вчора", "вчера")])
+    return F.when(named, let(day, lambda d: F.when(d.isNotNull(), _moment(F.year(d), F.month(d), F.dayofmonth(d), h, m))))
 
 
 def month_number(name: Column) -> Column:
@@ -54,18 +62,25 @@ def month_number(name: Column) -> Column:
 
 def named_month(text: Column, today: Column) -> Column:
     """A day and a month by name, the year of ``today`` where none is given; the first real date counts."""
-    p = r"\b(\d{1,2})\s+([а-яіїєґ]+)\.?(?:\s+(\d{4}))?(?:\s*(?:р\.?|року|г\.?))?(?:\s*(?:о|в)?\s*(\d{1,2}):(\d{2}))?"
-
-    def one(x: Column) -> Column:
-        return _moment(_n(x["g3"], F.year(today)), month_number(x["g2"]), _n(x["g1"]), _n(x["g4"], F.lit(0)), _n(x["g5"], F.lit(0)))
-
-    first = F.get(F.filter(F.transform(find_all(F.lower(text), p, 5), one), lambda x: x.isNotNull()), F.lit(0))
-    return F.when(text.rlike("[а-яіїєґА-ЯІЇЄҐ]"), first)
+    def one(found: Column) -> Column:
+        # Words of a match: day, month, then a year of four digits if there is one; a time stands at its end.
+        words = F.split(found, r"(?U)[\s.]+")
+        year = F.get(words, F.lit(2))
+        time = F.split(F.regexp_extract(found, fixed.CLOCK + "$", 0), ":")
+        return let(
+            F.struct(words.alias("w"), F.when(year.rlike("^[0-9]{4}$"), year.cast("int")).alias("y"), time.alias("t")),
+            lambda x: _moment(
+                F.coalesce(x["y"], F.year(today)), month_number(F.get(x["w"], F.lit(1))), _n(F.get(x["w"], F.lit(0))), _n(F.get(x["t"], F.lit(0)), F.lit(0)), _n(F.get(x["t"], F.lit(1)), F.lit(0))
+            ),
+        )
+
+    every = F.regexp_extract_all(F.lower(text), F.lit(_i(fixed.DATE_NAMED)), 0)
+    return F.when(text.rlike("[0-9]\\s+[а-яіїєґА-ЯІЇЄҐ]"), F.aggregate(every, F.lit(None).cast("timestamp_ntz"), lambda got, x: F.coalesce(got, one(x))))
 
 
 def hours_ago(text: Column, today: Column) -> Column:
     """So many hours before the last minute of ``today``."""
-    h = _n(group(text, r"\b(\d{1,2})\s+(?:годин|години|годину|час(?:ов|а)?)\s+тому\b"))
+    h = _n(group(text, fixed.DATE_HOURS_AGO))
     late = _moment(F.year(today), F.month(today), F.dayofmonth(today), F.lit(23), F.lit(59))
     return F.when(F.contains(F.lower(text), F.lit("тому")), late - F.make_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(0), h))
 
@@ -76,20 +91,35 @@ def day_only(text: Column, today: Column) -> Column:
     return F.when(d.isNotNull(), _moment(F.year(today), F.month(today), d, F.lit(0), F.lit(0)))
 
 
+def _first_form(t: Column, today: Column, bare_day: Column | bool) -> Column:
+    bare = day_only(t, today)
+    last = [F.when(bare_day, bare)] if isinstance(bare_day, Column) else [bare] if bare_day else []
+    return F.coalesce(iso(t), numeric(t), relative(t, today), named_month(t, today), hours_ago(t, today), *last)
+
+
 def any_form(text: Column, today: Column, bare_day: bool = True) -> Column:
     """The first form that gives a real moment."""
-    def first(t: Column) -> Column:
-        forms = [iso(t), numeric(t), relative(t, today), named_month(t, today), hours_ago(t, today)]
-        return F.coalesce(*forms, *([day_only(t, today)] if bare_day else []))
+    return let(text, lambda t: _first_form(t, today, bare_day))
+
+
+def _first_of(texts: Column, today: Column) -> Column:
+    """The first moment that an array of (t, bare: whether a bare day counts) gives; later texts are looked at only if needed."""
+    return F.aggregate(texts, F.lit(None).cast("timestamp_ntz"), lambda got, x: F.coalesce(got, _first_form(x["t"], today, x["bare"])))
+
 
-    return let(text, first)
+def _marked_texts(text: Column) -> Column:
+    """What follows each mark of publication, cleaned."""
+    found = F.regexp_extract_all(F.lower(text), F.lit(_i(fixed.CREATED_MARK + r"([^·|]{1,80})")), 1)
+    return F.when(has(text, fixed.CREATED_MARK), F.transform(found, clean)).otherwise(F.array().cast("array<string>"))
+
+
+def _asked(texts: Column, bare: bool = True) -> Column:
+    return F.transform(texts, lambda t: F.struct(t.alias("t"), F.lit(bare).alias("bare")))
 
 
 def marked(text: Column, today: Column) -> Column:
     """The first real date that follows a mark of publication."""
-    found = find_all(F.lower(text), fixed.CREATED_MARK + r"([^·|]{1,80})", 1)
-    first = F.get(F.filter(F.transform(found, lambda x: any_form(clean(x["g1"]), today)), lambda x: x.isNotNull()), F.lit(0))
-    return F.when(has(text, fixed.CREATED_MARK), first)
+    return _first_of(_asked(_marked_texts(text)), today)
 
 
 def published(source: Column, value: Column, description: Column, today: Column) -> Column:
@@ -97,11 +127,11 @@ def published(source: Column, value: Column, description: Column, today: Column)
 
     One source's texts are never searched for a date beyond its column and marks.
     """
-    def from_both(x: Column) -> Column:
-        free = F.when(source.isNull() | (source != "DIM.RIA"), any_form(clean(F.concat_ws(" ", x["v"], x["d"])), today, bare_day=False))
-        return F.coalesce(marked(x["d"], today), any_form(x["v"], today), free)
+    def tried(x: Column) -> Column:
+        both = F.when(source.isNull() | (source != "DIM.RIA"), F.array(clean(F.concat_ws(" ", x["v"], x["d"])))).otherwise(F.array().cast("array<string>"))
+        return F.concat(_asked(_marked_texts(x["d"])), _asked(F.array(x["v"])), _asked(both, False))
 
-    return let(F.struct(clean(value).alias("v"), clean(description).alias("d")), from_both)
+    return _first_of(let(F.struct(clean(value).alias("v"), clean(description).alias("d")), tried), today)
 
 
 def as_text(moment: Column) -> Column:
@@ -111,25 +141,18 @@ def as_text(moment: Column) -> Column:
 
 def detail_date(source: Column, html: Column, text: Column) -> Column:
     """The date in a detail page's source or text, by source, as text without a check of the calendar; "" for none."""
-    p = r"\b(\d{4})-(\d{2})-(\d{2})[ T](\d{2}):(\d{2})(?::(\d{2}))?\b"
-
     def stamp(field: str) -> Column:
         raw = F.regexp_extract(html, rf'"{field}"\s*:\s*"([^"]+)"', 1)
-        g = [group(raw, p, k) for k in range(1, 7)]
+        g = [group(raw, fixed.DETAIL_STAMP, k) for k in range(1, 7)]
         return F.when(g[0].isNotNull(), F.format_string("%s-%s-%s %s:%s:%s", *g[:5], F.coalesce(g[5], F.lit("00"))))
 
-    words = r"(?:Створений|Створено|Создан|Создано|Опубліковано|Опубликовано|Оновлений|Оновлено|Обновлен|Обновлено)\s*:\s*"
-    exact = words + r"(\d{2})-(\d{2})-(\d{4})\s+(\d{2}):(\d{2}):(\d{2})"
-    loose = words + r"(\d{2})[./](\d{2})[./](\d{4})(?:\s+(\d{2}):(\d{2})(?::(\d{2}))?)?"
-
     def dated(pattern: str) -> Column:
         d, m, y, *t = [group(text, pattern, k) for k in range(1, 7)]
         return F.when(d.isNotNull(), F.format_string("%s-%s-%s %s:%s:%s", y, m, d, *[F.coalesce(x, F.lit("00")) for x in t]))
 
-    day = r"Опубліковано\s+(\d{1,2})\s+([а-яіїєґ]+)\s+(\d{4})\s*р\.?"
-    month = month_number(group(text, day, 2))
-    plain = F.when(month.isNotNull(), F.format_string("%s-%02d-%02d 00:00:00", group(text, day, 3), month, _n(group(text, day, 1))))
+    month = month_number(group(text, fixed.DETAIL_DAY, 2))
+    plain = F.when(month.isNotNull(), F.format_string("%s-%02d-%02d 00:00:00", group(text, fixed.DETAIL_DAY, 3), month, _n(group(text, fixed.DETAIL_DAY, 1))))
     return F.coalesce(
-        F.when(source == "DIM.RIA", F.coalesce(stamp("publishing_date"), stamp("created_at"))).when(source == "REM.ua", F.coalesce(dated(exact), dated(loose))).when(source == "OLX", plain),
+        F.when(source == "DIM.RIA", F.coalesce(stamp("publishing_date"), stamp("created_at"))).when(source == "REM.ua", F.coalesce(dated(fixed.DETAIL_EXACT), dated(fixed.DETAIL_LOOSE))).when(source == "OLX", plain),
         F.lit(""),
     )

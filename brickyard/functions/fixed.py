@@ -293,3 +293,17 @@ SHEET_HEADER_COLOR = (0.88, 0.94, 1.0)
 #: Least scores of the models' answers, and sources whose addresses are always taken from their urls.
 LEAST_SCORES = {"address": 2.2, "rooms": 1.6, "floor": 1.7}
 REPLACE_ADDRESS_SOURCES = ("OLX",)
+
+#: Dates in texts: by number, by a month's name, so many hours ago, and a time of day.
+DATE_ISO = r"\b(\d{4})-(\d{2})-(\d{2})(?:[ T](\d{1,2}):(\d{2})(?::(\d{2}))?)?\b"
+DATE_NUMERIC = r"\b(\d{1,2})[./-](\d{1,2})[./-](\d{2,4})(?:\s+(\d{1,2}):(\d{2}))?\b"
+DATE_NAMED = r"\b(\d{1,2})\s+([а-яіїєґ]+)\.?(?:\s+(\d{4}))?(?:\s*(?:р\.?|року|г\.?))?(?:\s*(?:о|в)?\s*(\d{1,2}):(\d{2}))?"
+DATE_HOURS_AGO = r"\b(\d{1,2})\s+(?:годин|години|годину|час(?:ов|а)?)\s+тому\b"
+CLOCK = r"(?U)\d{1,2}:\d{2}"
+
+#: Dates of detail pages: a stamp in the source, exact and loose marks, and a day by name.
+DETAIL_STAMP = r"\b(\d{4})-(\d{2})-(\d{2})[ T](\d{2}):(\d{2})(?::(\d{2}))?\b"
+DETAIL_MARKS = r"(?:Створений|Створено|Создан|Создано|Опубліковано|Опубликовано|Оновлений|Оновлено|Обновлен|Обновлено)\s*:\s*"
+DETAIL_EXACT = DETAIL_MARKS + r"(\d{2})-(\d{2})-(\d{4})\s+(\d{2}):(\d{2}):(\d{2})"
+DETAIL_LOOSE = DETAIL_MARKS + r"(\d{2})[./](\d{2})[./](\d{4})(?:\s+(\d{2}):(\d{2})(?::(\d{2}))?)?"
+DETAIL_DAY = r"Опубліковано\s+(\d{1,2})\s+([а-яіїєґ]+)\s+(\d{4})\s*р\.?"

@@ -109,8 +109,8 @@ def price_usd(text: Column, rate: float = fixed.UAH_RATE) -> Column:
     """Dollars named in a text, else its hryvnias by the rate (half to even); null for neither."""
     t = clean(text)
     # One of these signs is in every text that names a price, and testing for them is cheap.
-    usd = F.when(t.rlike("[$уУuU]"), _digits(group(t, r"(\d[\d\s]*)\s*(?:\$|у\.?о\.?|USD)")))
-    uah = F.when(t.rlike("[гГuU]"), _digits(group(t, r"(\d[\d\s]*)\s*(?:грн|uah)")))
+    usd = F.when(t.rlike("[$уУuU]"), _digits(group(t, r"(\d[\d\s]*+)(?:\$|у\.?о\.?|USD)")))
+    uah = F.when(t.rlike("[гГuU]"), _digits(group(t, r"(\d[\d\s]*+)(?:грн|uah)")))
     return F.coalesce(usd, F.bround(uah / F.lit(float(rate)), 0).cast("long") if rate else F.lit(None).cast("long"))
 
 

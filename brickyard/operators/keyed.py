@@ -71,15 +71,25 @@ def keyed_update(rows: DataFrame, updates: DataFrame, id_col: str, url_col: str,
     find a value; with it the last wins. Returns (rows after, updates with row_id and status:
     updated, row not found, invalid value, value already exists).
     """
+    # What has no key gets one of its own that nothing else has, so that it is dealt over all tasks and meets nothing.
+    own = F.concat(F.lit("\0"), F.col("update_id").cast("string"))
+
+    def keyed(column: str) -> Column:
+        return F.when(blank(F.col(column)), own).otherwise(F.col(column))
+
+    def place(column: Column) -> Column:
+        return column.cast("string")
+
     last_id = rows.where(~blank(F.col(id_col))).groupBy(F.col(id_col).alias("id")).agg(F.max("__ord").alias("by_id"))
     last_url = rows.where(~blank(F.col(url_col))).groupBy(F.col(url_col).alias("url")).agg(F.max("__ord").alias("by_url"))
-    keyed = updates.withColumn("id", F.when(~blank(F.col("id")), F.col("id"))).withColumn("url", F.when(~blank(F.col("url")), F.col("url")))
-    found = keyed.join(last_id, "id", "left").join(last_url, "url", "left").withColumn("target", F.coalesce("by_id", "by_url"))
+    known_keys = updates.withColumns({"id": keyed("id"), "url": keyed("url")})
+    found = known_keys.join(last_id, "id", "left").join(last_url, "url", "left").withColumn("target", F.coalesce("by_id", "by_url"))
+    found = found.withColumn("at", F.coalesce(place(F.col("target")), own))
     valid = found.where(F.col("target").isNotNull() & ~blank(F.col("value")))
     # Which update of a row came first is an aggregate, so updates without a row meet in no group.
-    first = valid.groupBy("target").agg(F.min("update_id").alias("first"))
-    had = rows.select(F.col("__ord").alias("target"), F.col(value).alias("had"))
-    known = found.join(first, "target", "left").join(had, "target", "left")
+    first = valid.groupBy("at").agg(F.min("update_id").alias("first"))
+    had = rows.select(place(F.col("__ord")).alias("at"), F.col(value).alias("had"))
+    known = found.join(first, "at", "left").join(had, "at", "left")
     status = (
         F.when(F.col("target").isNull(), "row not found").when(blank(F.col("value")), "invalid value")
         .when(F.lit(overwrite), "updated").when(~blank(F.col("had")) | (F.col("update_id") > F.col("first")), "value already exists").otherwise("updated")

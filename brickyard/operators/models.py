@@ -7,9 +7,13 @@ literals. The address model's dictionaries grow with the data; they stay tables
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import ahocorasick
 import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -207,30 +211,58 @@ def fit_addresses(rows: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def _holding(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """Rows (ord, text) with each known address that the text contains, without regard to case.
+#: Characters of known addresses that a task searches for at once, as one automaton of about 100 bytes a character.
+AUTOMATON_CHARACTERS = 1_000_000
 
-    A text that contains an address has all runs of five characters of it; they meet by that run of the address which
-    fewest known addresses have, an equi-join, and the few met are then tested.
+
+def _search(entries: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (ord, low) to (ord, k): each entry that a text contains, once."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = ahocorasick.Automaton()
+        for k, (look, *_) in enumerate(entries.value):
+            machine.add_word(look, (*machine.get(look, ()), k))
+        if not len(machine):
+            return
+        machine.make_automaton()
+        for batch in batches:
+            at, found = [], []
+            for i, low in enumerate(batch.column(1).to_pylist()):
+                hits = {k for _, some in machine.iter(low or "") for k in some}
+                at += [i] * len(hits)
+                found += sorted(hits)
+            keys = batch.column(0).take(pa.array(at, pa.int64()))
+            rows = [entries.value[k] for k in found]
+            yield pa.RecordBatch.from_arrays([keys, *(pa.array([r[j] for r in rows], t) for j, t in ((1, pa.string()), (2, pa.int64()), (3, pa.int64())))], names=["ord", "address", "n", "first"])
+
+    return work
+
+
+def _holding(rows: DataFrame, known: DataFrame, room: int = AUTOMATON_CHARACTERS) -> DataFrame:
+    """(ord, address, n, first): rows (ord, text) with each known address that the text contains, without regard to case.
+
+    The known addresses are split by a hash into parts of about ``room`` characters, each sent to the tasks as one automaton, which
+    reads a text once for all of them. Texts stay where they are; they are read once for each part.
     """
-    def runs(text: Column) -> Column:
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - 4), lambda k: F.substring(text, k, F.lit(5))))
+    spark = rows.sparkSession
+    entries = known.select(F.lower("address").alias("look"), "address", F.col("n").cast("long").alias("n"), F.col("first").cast("long").alias("first"))
+    size = entries.agg(F.sum(F.length("look"))).first()[0] or 0
+    parts = max(1, -(-size // room))
+    low = rows.select(F.col("ord"), F.lower("text").alias("low")).where("low is not null")
+    schema = f"ord {rows.schema['ord'].dataType.simpleString()}, address string, n long, first long"
+
+    def one(k: int) -> DataFrame:
+        some = entries.where(F.pmod(F.xxhash64("address"), F.lit(parts)) == k).toLocalIterator() if parts > 1 else entries.toLocalIterator()
+        return low.mapInArrow(_search(spark.sparkContext.broadcast([tuple(r) for r in some])), schema)
 
-    entry = known.withColumn("look", F.lower("address"))
-    spread = entry.select("address", F.explode(runs(F.col("look"))).alias("run"))
-    rare = spread.groupBy("run").agg(F.count("*").alias("often"))
-    key = spread.join(rare, "run").groupBy("address").agg(F.min(F.struct("often", "run")).alias("k")).select("address", F.col("k.run").alias("run"))
-    low = rows.select("ord", F.lower("text").alias("low")).where(F.length("text") >= 5)
-    met = low.select("ord", "low", F.explode(runs(F.col("low"))).alias("run")).join(key, "run").select("ord", "low", "address")
-    return met.join(entry, "address").where(F.contains("low", "look")).drop("look")
+    return reduce(DataFrame.union, [one(k) for k in range(parts)])
 
 
 def address_candidates(rows: DataFrame, model: dict[str, DataFrame]) -> DataFrame:
     """(ord, turn, value, kind, score) of each row's candidate addresses from rows (ord, source, city, url, text).
 
     Patterns in the description, known addresses that it contains, the url, and known tokens of the
-    city, in that order. Known addresses meet texts by five characters that they share, then containment is tested.
-    Tokens are met by an equi-join on (city, token).
+    city, in that order. Known addresses are found by an automaton, tokens met by an equi-join on (city, token).
     """
     text = F.col("text")
     patterned = F.filter(

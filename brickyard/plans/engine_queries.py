@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from brickyard.functions import dates, fixed, geo, text
 from brickyard.operators import api, keyed, models
 from brickyard.plans.insights import short_label
-from brickyard.plans.listings import ORDER, VIEW, listings, table
+from brickyard.plans.listings import ORDER, VIEW, listings, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -188,7 +188,8 @@ def price_parse(spark, sf_dir):
     p, k = F.floor("l_extendedprice").cast("string"), F.col("l_linenumber") % 3
     spaced = F.when(F.length(p) > 3, F.concat(F.expr("left(cast(floor(l_extendedprice) as string), length(cast(floor(l_extendedprice) as string)) - 3)"), F.lit(" "), F.expr("right(cast(floor(l_extendedprice) as string), 3)"))).otherwise(p)
     said = F.when(k == 0, F.concat(spaced, F.lit(" $ · 9 грн"))).when(k == 1, F.concat(F.lit("ціна "), spaced, F.lit(" грн"))).otherwise("без ціни")
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", text.price_usd(said).alias("usd"))
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    return spread(table(spark, sf_dir, "lineitem").select(*keys)).select(*keys, text.price_usd(said).alias("usd"))
 
 
 def _said(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -286,7 +287,8 @@ def date_normalize(spark, sf_dir):
         F.when(k == 0, F.date_format(d, "yyyy-MM-dd HH:mm:ss")).when(k == 1, F.concat(F.date_format(d, "dd.MM.yyyy"), F.lit(" 10:05"))).when(k == 2, "Сьогодні о 14:30").when(k == 3, named).otherwise("31.02.2026")
     )
     moment = dates.published(F.lit("OLX"), said, F.lit(""), F.lit("2026-05-16").cast("date"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", dates.as_text(moment).alias("published"))
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"))
+    return orders.select("o_orderkey", dates.as_text(moment).alias("published"))
 
 
 @query("""SELECT page_id, array_to_string(list_filter(string_split_regex(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(list_last(string_split(rtrim(

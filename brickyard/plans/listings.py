@@ -10,6 +10,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a table that lies in fewer pieces than there are cores, dealt to all of them; others as they are.
+
+    For work that costs more than moving its columns. A large table has pieces enough and moves nothing.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order line as a listing. Dimensions join by their own sizes: the planner broadcasts what is small."""
     line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")

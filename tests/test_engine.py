@@ -116,6 +116,26 @@ def test_address_model(spark):
     assert set(got) == {1} and got[1].startswith("вул. Робоча")
 
 
+@pytest.mark.parametrize("room", [10, 1_000_000])
+def test_known_addresses_are_found_by_automata(spark, room):
+    names = ["вул. Робоча", "РОБОЧА", "Київська 5", "Київська", "ab-cd", "AB-CD", "просп. Миру"]
+    known = spark.createDataFrame([(a, 10 - k, k) for k, a in enumerate(names)], "address string, n int, first int")
+    texts = ["на вул. робоча, поруч Київська 5", "київськаКИЇВСЬКА", "x ab-CD-ab", "", None, "миру", "вул. робоч" + "а" * 5_000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "ord int, text string").repartition(3)
+    got = sorted((r.ord, r.address, r.n, r.first) for r in models._holding(rows, known, room).collect())
+    assert got == sorted((k, a, 10 - j, j) for k, t in enumerate(texts) for j, a in enumerate(names) if a.lower() in (t or "").lower())
+    assert models._holding(rows, known.limit(0), room).collect() == []
+
+
+def test_updates_without_keys_meet_nothing(spark):
+    rows = spark.createDataFrame([(1, "7", "u7", ""), (2, "8", "", "had"), (3, None, "u9", None), (4, "", "", "")], "__ord int, id string, url string, phone string")
+    updates = [(1, "", "", "a"), (2, None, None, "b"), (3, "7", None, "c"), (4, None, "u7", "d"), (5, " ", "u9", " "), (6, "8", "x", "e"), (7, "none", "u9", "f")]
+    after, judged = keyed.keyed_update(rows, spark.createDataFrame(updates, "update_id int, id string, url string, value string"), "id", "url", "phone", False)
+    assert {r["__ord"]: r.phone for r in after.collect()} == {1: "c", 2: "had", 3: "f", 4: ""}
+    want = {1: (None, "row not found"), 2: (None, "row not found"), 3: (1, "updated"), 4: (1, "value already exists"), 5: (3, "invalid value"), 6: (2, "value already exists"), 7: (3, "updated")}
+    assert {r.update_id: (r.row_id, r.status) for r in judged.collect()} == want
+
+
 def test_linear_model(spark):
     p = spark.createDataFrame([([1.0, 0.0],), ([0.0, 1.0],)], "x array<double>").select(models.linear_scores(F.col("x"), [0.0, 0.0], [1.0, 0.0], [[1.0, 0.0], [0.0, 1.0], [0.0, 0.0]], [0.0, 0.0, 0.0]).alias("p")).collect()
     assert all(abs(sum(r.p) - 1) < 1e-12 for r in p) and p[0].p[0] > p[0].p[1] and p[1].p[1] > p[1].p[0]
