@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brickyard.operators import linked_data
 from brickyard.plans.collect import Settings, collected, warnings
 from brickyard.plans.listings import table
 from brickyard.sources import html
@@ -148,14 +149,41 @@ def page_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warnings(pages(spark, sf_dir)).select("source", "page", "warning")
 
 
+def _detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(k, html): an order as a detail page with phones and pictures in its linked data, at several depths, and a script that is no JSON."""
+    nine = F.lpad(F.col("k").cast("string"), 9, "0")
+    data = F.concat(
+        F.lit('{"@graph": [{"@type": "Offer", "telephone": "0'), nine, F.lit('"}, {"offers": [{"seller": {"telephone": ["+380'), nine, F.lit('", "38('), F.substring(nine, 1, 3), F.lit(") "), F.substring(nine, 4, 6), F.lit('", '),
+        nine.cast("long").cast("string"), F.lit(']}}], "image": {"url": "/i/'), F.col("k").cast("string"), F.lit('.jpg"}}], "image": ["/a.jpg", "/b'), F.col("r").cast("string"), F.lit('.jpg"]'),
+        F.when(F.col("k") % 3 == 0, F.concat(F.lit(', "telephone": 380'), F.lpad(F.col("p").cast("string"), 9, "0"))).otherwise(""), F.lit("}"),
+    )
+    script = lambda x: F.concat(F.lit('<script type="application/ld+json">'), x, F.lit("</script>"))
+    body = F.when(F.col("k") % 5 == 0, F.lit("<p>ld+json</p>")).otherwise(F.concat(script(F.lit('{"telephone": ')), F.lit("<p>text</p>"), script(data)))
+    return _said(spark, sf_dir).select("k", body.alias("html"))
+
+
+def linked_page_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phones in the linked data of detail pages."""
+    return linked_data.linked_phones(_detail_pages(spark, sf_dir), "k").select("k", F.array_join("phones", "; ").alias("phones"))
+
+
+def linked_page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures in the linked data of detail pages: texts, lists and objects with a url."""
+    found = linked_data.objects(_detail_pages(spark, sf_dir).select("k", linked_data.linked_scripts(F.col("html")).alias("scripts")), "k")
+    return linked_data.values_of(found, "k", "image", "url").select("k", F.array_join("values", " ").alias("images"))
+
+
 _NAMES = {"REM.ua": "cards_rem", "DIM.RIA": "cards_dim_ria", "OLX": "cards_olx", "RIELTOR": "cards_rieltor", "OBYAVA.ua": "cards_obyava"}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _one(source) for source, name in _NAMES.items()}
-QUERIES |= {f.__name__: f for f in (rem_variant, cards_of_sources, collected_listings, page_warnings)}
+QUERIES |= {f.__name__: f for f in (rem_variant, cards_of_sources, collected_listings, page_warnings, linked_page_phones, linked_page_images)}
 
 _EVERY = " UNION ALL ".join(f"SELECT * FROM ({_expected(s, ', k, src, p AS usd')})" for s in _EXPECTED)
 ORACLES: dict[str, str] = {name: _expected(source) for source, name in _NAMES.items()} | {
     "rem_variant": f"""SELECT 'REM.ua' AS source, 'https://rem.ua/ua/prodazha-kvartira-' || id AS url, p AS price, 'вул. Робоча ' || h AS address, a || '.5' AS area,
       CAST(r AS VARCHAR) AS rooms, CAST(f AS VARCHAR) AS floor, CAST(t AS VARCHAR) AS floors FROM ({_SAID}) WHERE src = 0 AND linked AND priced AND NOT ({_UNREAD})""",
+    "linked_page_phones": f"""SELECT k, CASE WHEN k % 3 = 0 AND p <> k THEN '+380' || lpad(CAST(p AS VARCHAR), 9, '0') || '; ' ELSE '' END || '+380' || lpad(CAST(k AS VARCHAR), 9, '0') AS phones
+      FROM ({_SAID}) WHERE k % 5 <> 0""",
+    "linked_page_images": f"SELECT k, '/a.jpg /b' || r || '.jpg /i/' || k || '.jpg' AS images FROM ({_SAID}) WHERE k % 5 <> 0",
     "cards_of_sources": f"""SELECT s.source, count(k) AS n FROM (SELECT unnest([{', '.join(f"'{s}'" for s, _ in SOURCES)}]) AS source, unnest(range({len(SOURCES)})) AS src) s
       LEFT JOIN (SELECT * FROM ({_SAID}) WHERE src < 5 AND NOT ({_UNREAD})) c ON c.src = s.src GROUP BY s.source""",
     "collected_listings": f"""SELECT * EXCLUDE (k, src, usd, n) FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY k // 120, src, k) AS n FROM ({_EVERY})
