@@ -89,9 +89,20 @@ def find_source(pages: DataFrame, name: str) -> DataFrame:
     return pages.where(F.lower("source") == name.lower())
 
 
-def to_answer(rows: DataFrame) -> DataFrame:
-    """One JSON object with the count and the listings; for a limited result, as an answer is held whole."""
-    return rows.agg(F.to_json(F.struct(F.count("*").alias("count"), F.collect_list(F.struct(*rows.columns)).alias("listings"))).alias("answer"))
+#: Listings of an answer, at most, as an answer is held whole.
+MOST_LISTINGS = 100_000
+
+
+def to_answer(rows: DataFrame, most: int = MOST_LISTINGS) -> DataFrame:
+    """One JSON object with the count and the listings; more than ``most`` of them are refused with an error, not cut off.
+
+    A larger result is asked for in parts, with limits and filters.
+    """
+    few = rows.limit(most + 1)
+    held = F.raise_error(F.lit(f"more than {most} listings: ask for fewer"))
+    return few.groupBy().agg(F.count("*").alias("count"), F.collect_list(F.struct(*rows.columns)).alias("listings")).select(
+        F.when(F.col("count") > most, held.cast("string")).otherwise(F.to_json(F.struct("count", "listings"))).alias("answer")
+    )
 
 
 _BODY = "updates array<struct<`№`:string,number:string,url:string,`телефон`:string,phone:string>>, overwrite boolean"

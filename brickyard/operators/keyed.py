@@ -141,6 +141,11 @@ def number_by_place(rows: DataFrame, place: str, into: str = "number") -> DataFr
     return rows.withColumn("__part", part).join(F.broadcast(shift), "__part").withColumn(into, at).drop("__part", "__first", "__shift")
 
 
+def sorted_unique(rows: DataFrame, column: str) -> DataFrame:
+    """The values of a column that are not blank, each once, in order."""
+    return rows.where(~blank(F.col(column))).select(column).distinct().orderBy(column)
+
+
 def insert_after(columns: list[str], anchor: str, new: str) -> list[str]:
     """Column order with ``new`` after ``anchor``; at the end where there is no anchor, unchanged where it is there."""
     if new in columns:

@@ -339,6 +339,10 @@ def average_probabilities(photos: DataFrame, classes: list[str], least: float =
     return photos.groupBy("row_id").agg(*means).select("row_id", ranked.alias("r")).select("row_id", "r.label", "r.probability").where(F.col("probability") >= least)
 
 
+#: Classes of a linear model, at most.
+MOST_CLASSES = 1_000
+
+
 def fit_linear(samples: DataFrame, label: str = "label", features: str = "features", least: int = 8) -> dict:
     """A balanced logistic regression over standardized features (population deviation), as plain numbers.
 
@@ -348,10 +352,12 @@ def fit_linear(samples: DataFrame, label: str = "label", features: str = "featur
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
-    counts = {r[label]: r["count"] for r in samples.groupBy(label).count().orderBy(label).collect()}
+    counts = {r[label]: r["count"] for r in samples.groupBy(label).count().orderBy(label).limit(MOST_CLASSES + 1).collect()}
     n = sum(counts.values())
     if n < least or len(counts) < 2:
         raise ValueError(f"not enough samples: {n}, classes: {sorted(counts)}")
+    if len(counts) > MOST_CLASSES:
+        raise ValueError(f"more than {MOST_CLASSES} classes: {label} is no label")
     size = samples.select(F.size(features)).first()[0]
     stats = samples.agg(*[f(F.col(features)[k]).alias(f"{s}{k}") for k in range(size) for s, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     mean, scale = [stats[f"m{k}"] for k in range(size)], [stats[f"s{k}"] or 1.0 for k in range(size)]

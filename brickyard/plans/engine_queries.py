@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brickyard.functions import dates, fixed, geo, text
-from brickyard.operators import api, keyed, models
-from brickyard.plans.insights import short_label
+from brickyard.operators import api, keyed, models, quantiles
+from brickyard.plans.insights import counted, short_label
 from brickyard.plans.listings import ORDER, VIEW, listings, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -479,3 +479,17 @@ def row_pictures(spark, sf_dir):
     files = table(spark, sf_dir, "part").select(name.alias("path"))
     rows = table(spark, sf_dir, "supplier").select(F.concat(F.lit("№ "), F.col("s_suppkey").cast("string")).alias("№"))
     return row_images(rows, files, 3).select(F.regexp_replace("№", "[^0-9]", "").cast("long").alias("number"), "path")
+
+
+_DECILES = [k / 10 for k in range(1, 10)]
+
+
+@query(f"""WITH {VIEW} SELECT city, count(price_m2) AS n, {', '.join(f"round(quantile_cont(price_m2::DOUBLE, {p}), 4) AS d{int(p * 10)}" for p in _DECILES)} FROM v GROUP BY city""")
+def price_deciles(spark, sf_dir):
+    found = quantiles.quantiles(counted(listings(spark, sf_dir), ["city"]), ["city"], _DECILES)
+    return found.select("city", "n", *(F.round(F.col("q")[k], 4).alias(f"d{k + 1}") for k in range(9)))
+
+
+@query("SELECT DISTINCT o_orderpriority AS value FROM orders WHERE o_orderpriority <> ''")
+def sorted_priorities(spark, sf_dir):
+    return keyed.sorted_unique(table(spark, sf_dir, "orders"), "o_orderpriority").withColumnRenamed("o_orderpriority", "value")
