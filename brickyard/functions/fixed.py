@@ -194,10 +194,10 @@ REPAIR_PATTERNS = (
 
 #: Patterns of the four repair classes, in the order in which they are tried.
 CLASS_PATTERNS = (
-    ("під ремонт", r"під\s+ремонт|под\s+ремонт|без\s+ремонт|потребує\s+ремонту|требует\s+ремонт|від\s+забудовник|от\s+строител|стан\s+від\s+будівельник|состояние\s+от\s+строител"),
-    ("косметичний ремонт", r"косметичн\w*\s+ремонт|косметическ\w*\s+ремонт"),
-    ("радянський ремонт", r"радян\w*\s+ремонт|советск\w*\s+ремонт|житловий\s+стан|жилое\s+состояние|стара\s+квартира|старый\s+ремонт|бабушкин\s+ремонт"),
-    ("євроремонт", r"євроремонт|евроремонт|дизайнерськ\w*\s+ремонт|дизайнерск\w*\s+ремонт|нов\w*\s+ремонт|новый\s+ремонт|сучасн\w*\s+ремонт|современн\w*\s+ремонт|якісн\w*\s+ремонт|качественн\w*\s+ремонт|капітальн\w*\s+ремонт|капитальн\w*\s+ремонт"),
+    ("під ремонт", (r"під\s+ремонт", r"под\s+ремонт", r"без\s+ремонт", r"потребує\s+ремонту", r"требует\s+ремонт", r"від\s+забудовник", r"от\s+строител", r"стан\s+від\s+будівельник", r"состояние\s+от\s+строител")),
+    ("косметичний ремонт", (r"косметичн\w*\s+ремонт", r"косметическ\w*\s+ремонт")),
+    ("радянський ремонт", (r"радян\w*\s+ремонт", r"советск\w*\s+ремонт", r"житловий\s+стан", r"жилое\s+состояние", r"стара\s+квартира", r"старый\s+ремонт", r"бабушкин\s+ремонт")),
+    ("євроремонт", (r"євроремонт", r"евроремонт", r"дизайнерськ\w*\s+ремонт", r"дизайнерск\w*\s+ремонт", r"нов\w*\s+ремонт", r"новый\s+ремонт", r"сучасн\w*\s+ремонт", r"современн\w*\s+ремонт", r"якісн\w*\s+ремонт", r"качественн\w*\s+ремонт", r"капітальн\w*\s+ремонт", r"капитальн\w*\s+ремонт")),
 )
 
 #: What follows one of these marks the date of a listing.

@@ -263,7 +263,7 @@ def repair_class(label: Column) -> Column:
 def training_class(manual: Column, label: Column, text: Column) -> Column:
     """The class to learn: by hand, else of the label, else named in the text, else ""."""
     low = F.lower(clean(text))
-    named = [F.when(low.rlike("(?U)" + p), name) for name, p in fixed.CLASS_PATTERNS]
+    named = [F.when(low.rlike("(?U)" + "|".join(patterns)), name) for name, patterns in fixed.CLASS_PATTERNS]
     blank = lambda x: F.when(x != "", x)
     return F.coalesce(blank(repair_class(manual)), blank(repair_class(label)), *named, F.lit(""))
 

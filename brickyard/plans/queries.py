@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brickyard.plans import case_queries, engine_queries, insights, landed_queries
+from brickyard.plans import case_queries, engine_queries, insights, landed_queries, text_queries
 from brickyard.plans.insight_oracles import ORACLES as INSIGHT_ORACLES
 from brickyard.plans.listings import listings
 
@@ -24,6 +24,6 @@ QUERIES: dict[str, Query] = {
     for name in INSIGHT_ORACLES if name != "listings_clean"
 } | {"listings_clean": _over_listings(lambda v: v.select(*_CLEAN))}
 
-QUERIES |= engine_queries.QUERIES | case_queries.QUERIES | landed_queries.QUERIES
+QUERIES |= engine_queries.QUERIES | case_queries.QUERIES | landed_queries.QUERIES | text_queries.QUERIES
 
-ORACLES: dict[str, str] = INSIGHT_ORACLES | engine_queries.ORACLES | case_queries.ORACLES | landed_queries.ORACLES
+ORACLES: dict[str, str] = INSIGHT_ORACLES | engine_queries.ORACLES | case_queries.ORACLES | landed_queries.ORACLES | text_queries.ORACLES
