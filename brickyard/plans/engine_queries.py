@@ -493,3 +493,16 @@ def price_deciles(spark, sf_dir):
 @query("SELECT DISTINCT o_orderpriority AS value FROM orders WHERE o_orderpriority <> ''")
 def sorted_priorities(spark, sf_dir):
     return keyed.sorted_unique(table(spark, sf_dir, "orders"), "o_orderpriority").withColumnRenamed("o_orderpriority", "value")
+
+
+@query("""WITH t AS (SELECT p_partkey AS ord, p_brand AS city, unnest(string_split(p_name, ' ')) AS token, unnest(range(1, len(string_split(p_name, ' ')) + 1)) AS pos FROM part),
+model AS (SELECT city, token, count(*) AS n, min(ord * 100 + pos) AS seen FROM t WHERE length(token) > 1 GROUP BY city, token),
+met AS (SELECT DISTINCT s.ord, s.token, n, seen FROM (SELECT ord, city, token FROM t UNION ALL SELECT p_partkey, p_brand, lower(p_type) FROM part) s JOIN model m ON m.city = s.city AND m.token = s.token WHERE length(s.token) >= 5)
+SELECT ord, upper(token[1]) || token[2:] AS value FROM met QUALIFY row_number() OVER (PARTITION BY ord ORDER BY n DESC, seen) <= 8""")
+def learned_tokens(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    known = part.select(F.col("p_partkey").alias("ord"), F.lit("REM.ua").alias("source"), F.col("p_brand").alias("city"), F.col("p_name").alias("address"), F.lit("").alias("text"))
+    rows = known.select("ord", "source", "city", F.lit("").alias("url"), F.concat_ws(" ", "address", F.lit("")).alias("text"))
+    more = part.select(F.col("p_partkey").alias("ord"), F.concat(F.col("p_name"), F.lit(", "), F.col("p_type")).alias("said"))
+    rows = rows.join(more, "ord").withColumn("text", F.col("said")).drop("said")
+    return models.address_candidates(rows, models.fit_addresses(known)).where("kind = 'learned_token'").select("ord", "value")

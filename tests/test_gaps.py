@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from brickyard.functions import fixed
 from brickyard.operators import api, keyed, models, quantiles
 from brickyard.sources import html, listings
 
@@ -84,3 +85,53 @@ def test_cards_of_two_more_sources(spark):
     one, two = got["RIELTOR"], got["OBYAVA.ua"]
     assert (one.price, one.adress, one["район"], one["площа"], one["кількість кімнат"], one["дата публікації"]) == ("41000", "вул. Лісова 5", "Приморський р-н", "30", "1", "сьогодні")
     assert (two.url, two.price, two["площа"], two.adress) == ("https://x.example/1", "40000", "50.5", "")
+
+
+def brute_score(value, kind, base, source, tokens, city_tokens):
+    """The score of a candidate address by the meaning of each part; None where it is rejected."""
+    import re
+
+    low = value.lower()
+    bad = re.search(r"идеальная|ідеальная|сегодня|сьогодні|\d{1,2}:\d{2}", low)
+    if not value or bad or low in fixed.BAD_ADDRESSES:
+        return None
+    words = set(w.lower() for w in re.findall(r"[A-Za-zА-Яа-яІіЇїЄєҐґ0-9']+", value) if len(w) > 1)
+    score = base + min(1.5, 0.35 * len(words & tokens)) + min(1.0, 0.30 * len(words & city_tokens))
+    if len(words) == 1 and not any(m in low for m in ("вул", "ул", "просп", "пров", "ж/м", "жк")):
+        score -= 0.8
+    if any(m in low for m in ("вул.", "ул.", "просп.", "пров.", "ж/м", "жк")) or words & set(fixed.SCORED_MARKERS):
+        score += 1.0
+    score += 0.4 * ("/" in value) - 2.0 * (len(value) < 4) - 0.8 * (len(value.split(" ")) > 8)
+    return score + (0.4 if source == "OBYAVA.ua" and kind == "description_regex" else 0.0)
+
+
+def test_addresses_of_all_kinds_are_scored_like_a_loop(spark):
+    train = [
+        (1, "REM.ua", "Одеса", "вул. Робоча 7", "продам вул. робоча 7 поруч"), (2, "REM.ua", "Одеса", "просп. Шевченка", ""), (3, "DIM.RIA", "Дніпро", "вул. Робоча 7", ""),
+        (4, "OLX", "Одеса", "Черемушки", ""), (5, "OLX", "Одеса", "вул. Канатна", ""),
+    ]
+    rows = [
+        (1, "OLX", "Одеса", "https://www.olx.ua/d/uk/obyavlenie/kvartira-vul-rabochaya-IDx.html", "Продам за адресою вул. Робоча 7, поверх 3"), (2, "OBYAVA.ua", "Одеса", "", "Квартира на просп. Шевченка / вул. Канатна, сьогодні 10:15"),
+        (3, "OLX", "Дніпро", "", "тут робоча зона і канатна дорога"), (4, "OLX", "Одеса", None, "шевченка робоча канатна"), (5, "OLX", "Одеса", "", ""), (6, "OLX", "Київ", "", "ж/м Тополя 2, вул. робоча 7"),
+    ]
+    model = models.fit_addresses(spark.createDataFrame(train, "ord int, source string, city string, address string, text string"))
+    table = spark.createDataFrame(rows, "ord int, source string, city string, url string, text string")
+    found = models.address_candidates(table, model)
+    scored = models.score_addresses(found, table, model).collect()
+    kinds = {r.kind for r in scored}
+    assert kinds == {"description_regex", "known_address", "url_slug", "learned_token"}
+    tokens = {r.token for r in model["tokens"].collect()}
+    local = {}
+    for r in model["city_tokens"].collect():
+        local.setdefault(r.city, set()).add(r.token)
+    assert "черемушки" not in tokens and {"робоча", "шевченка", "канатна"} <= tokens and "канатна" not in local["Дніпро"]
+    base = {"description_regex": 1.8, "known_address": 2.6, "url_slug": 1.5, "learned_token": 1.1}
+    by = {r[0]: r for r in rows}
+    for r in scored:
+        assert r.score == pytest.approx(brute_score(r.value, r.kind, base[r.kind], by[r.ord][1], tokens, local.get(by[r.ord][2], set()))), r
+    assert len(scored) <= found.count() and {r.ord for r in scored if r.kind == "known_address"} == {1, 2, 6}
+    best = {r.ord: r for r in models.best_addresses(table, model).collect()}
+    for k in by:
+        own = sorted((r for r in scored if r.ord == k), key=lambda r: (-r.score, tuple(r.turn)))
+        want = own[0] if own and own[0].score >= 2.2 else None
+        assert (best[k].value, best[k].kind) == (want.value, want.kind) if want else k not in best
