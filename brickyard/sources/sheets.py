@@ -2,7 +2,8 @@
 
 Each task fills a hidden tab of its own. The commit is one batch of requests, which the service applies
 as a whole: a new tab with a header, the tasks' cells copied in order, the old tab gone, the new one
-named and formatted. Where a task fails, the old tab is untouched and the hidden ones are deleted.
+named and formatted. Where a task fails, the old tab is untouched and the hidden ones are deleted; what a task that
+outlived its job still adds goes with the next write. One job writes a tab at a time.
 """
 
 from __future__ import annotations
@@ -60,7 +61,8 @@ class _Part(WriterCommitMessage):
 class _Writer(DataSourceWriter):
     def __init__(self, service: Service, tab: str, columns: list[str]):
         self.service, self.tab, self.columns = service, tab, columns
-        self.job = f".{tab}.{uuid.uuid4().hex[:12]}"
+        self.hidden = f".{tab}."
+        self.job = f"{self.hidden}{uuid.uuid4().hex[:12]}"
 
     def write(self, rows: Iterator[Row]) -> _Part:
         """One task's rows in a hidden tab of its own, some at a time."""
@@ -76,7 +78,7 @@ class _Writer(DataSourceWriter):
         return _Part(task.partitionId(), tab, n)
 
     def _leftovers(self) -> list[dict]:
-        return [{"deleteSheet": {"sheetId": k}} for title, k in self.service.tabs().items() if title.startswith(self.job)]
+        return [{"deleteSheet": {"sheetId": k}} for title, k in self.service.tabs().items() if title.startswith(self.hidden)]
 
     def commit(self, messages: list[_Part | None]) -> None:
         parts = sorted((m for m in messages if m and m.rows), key=lambda m: m.partition)
