@@ -460,3 +460,49 @@ def test_bpe_raises_where_the_input_changes_between_its_reads(spark):
         else:
             with pytest.raises(RuntimeError, match="differ"):
                 bpe._assemble(frame)
+
+
+def around_a_line(rng, rows, shared):
+    """Surroundings of one mark: ``shared`` shingles from before it on are in all rows, the rest is random or an edited copy of an earlier row's."""
+    n = 2 * substring.AROUND + 1
+    line = rng.integers(1, 1 << 32, shared, np.uint32)
+    out = []
+    for k in range(rows):
+        a = int(substring.AROUND - rng.integers(8, shared - substring.GRAM))
+        row = rng.integers(1, 1 << 32, n, np.uint32)
+        if k % 3 == 2:  # an earlier row moved by some places, with a few shingles changed
+            d = int(rng.integers(-6, 7))
+            row = np.roll(out[int(rng.integers(0, k))], d)
+            row[rng.integers(0, n, int(rng.integers(0, 25)))] = rng.integers(1, 1 << 32)
+            row[substring.AROUND : substring.AROUND + substring.GRAM] = out[0][substring.AROUND : substring.AROUND + substring.GRAM]
+        else:
+            row[substring.AROUND - 20 : substring.AROUND - 20 + shared] = line
+            row[: int(rng.integers(0, 9))] = 0
+        out.append(row)
+    return np.stack(out)
+
+
+def test_frequent_marks_link_every_row_that_has_a_passage():
+    for seed, rows in ((1, 40), (2, 200), (3, 200)):
+        around = around_a_line(np.random.default_rng(seed), rows, 42)
+        ids = np.sort(np.random.default_rng(seed).integers(0, rows, rows))
+        real = around != 0
+
+        def holds(h, k):
+            return bool(substring._holds(((around[h] == around[k]) & real[h])[None])[0]) or substring._over(around[h], around[k])
+
+        got = substring.link_heads(ids, around)
+        assert all(ids[k] < ids[h] and holds(h, k) for h, k in got)
+        alike = lambda h, k: len(np.intersect1d(around[h][real[h]], around[k][real[k]])) >= substring.SHARED
+        assert {h for h, _ in got} == {h for h in range(rows) if any(ids[k] < ids[h] and alike(h, k) and holds(h, k) for k in range(h))}
+        assert len(got) > rows // 10
+
+
+def test_a_line_in_many_surroundings_is_not_aligned_in_pairs(monkeypatch):
+    """A line shorter than a passage in 400 different surroundings: no pair has a passage, and none needs an alignment."""
+    rng, calls, over = np.random.default_rng(4), [], substring._over
+    around = rng.integers(1, 1 << 32, (400, 2 * substring.AROUND + 1), np.uint32)
+    around[:, 25:67] = rng.integers(1, 1 << 32, 42, np.uint32)
+    monkeypatch.setattr(substring, "_over", lambda x, y: calls.append(1) or over(x, y))
+    assert substring.link_heads(np.arange(400), around) == []
+    assert len(calls) <= 400
