@@ -506,3 +506,13 @@ def test_a_line_in_many_surroundings_is_not_aligned_in_pairs(monkeypatch):
     monkeypatch.setattr(substring, "_over", lambda x, y: calls.append(1) or over(x, y))
     assert substring.link_heads(np.arange(400), around) == []
     assert len(calls) <= 400
+
+
+def test_links_that_are_stars_take_no_round(spark, monkeypatch):
+    """Stars, and no links at all, are written once; chains still meet."""
+    written, write = [], components.materialize
+    monkeypatch.setattr(components, "materialize", lambda df: written.append(1) or write(df))
+    link = lambda pairs: {r.node: r.component for r in components.connected_components(frame(spark, pairs, "a long, b long")).collect()}
+    assert link([]) == {} and len(written) == 1
+    assert link([(5, 1), (1, 9), (7, 2)]) == {1: 1, 5: 1, 9: 1, 2: 2, 7: 2} and len(written) == 2
+    assert link([(k, k + 1) for k in range(300)] + [(400, 399)]) == dict.fromkeys(range(301), 0) | {399: 399, 400: 399}
