@@ -30,12 +30,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import freed, partitions, slices, small_batches
+from .common import freed, give_back, partitions, slices, small_batches
 
 #: Characters in a block; a longer document is a block of its own.
 BLOCK_CHARS = 1_500_000
 #: Bytes of words that a task of a bucket remembers with their ids; beyond it starts anew.
 KNOWN_BYTES = 16_000_000
+#: Characters, tokens or ids that arrays are made over at a time (at least one document or row), as they take many bytes for each.
+PIECE = 1 << 17
 
 _LETTER, _NUMBER, _SPACE, _OTHER = 1, 2, 3, 4
 
@@ -130,15 +132,31 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list
         yield block, ids, texts
 
 
+def _runs(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Start and end of runs of items whose sizes come to PIECE at most, or of one item."""
+    a, n = 0, 0
+    for k, size in enumerate(sizes):
+        if k > a and n + size > PIECE:
+            yield a, k
+            a, n = k, 0
+        n += size
+    if sizes:
+        yield a, len(sizes)
+
+
 def _words(texts: list[str]) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
     """The distinct words in order of appearance, the word number of each token, tokens by document."""
-    whole, at, ends = cut(texts)
     number: dict[str, int] = {}
-    seq = np.empty(len(at), np.uint32)
-    for k in range(0, len(at), 1 << 16):
-        cuts = [*at[k : k + (1 << 16) + 1].tolist(), len(whole)][: min(1 << 16, len(at) - k) + 1]
-        seq[k : k + (1 << 16)] = [number.setdefault(whole[a:b], len(number)) for a, b in zip(cuts, cuts[1:])]
-    return number, seq, np.diff(np.searchsorted(at, ends))
+    seqs, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+    for i, j in _runs([*map(len, texts)]):
+        whole, at, ends = cut(texts[i:j])
+        seq = np.empty(len(at), np.uint32)
+        for k in range(0, len(at), 1 << 16):
+            cuts = [*at[k : k + (1 << 16) + 1].tolist(), len(whole)][: min(1 << 16, len(at) - k) + 1]
+            seq[k : k + (1 << 16)] = [number.setdefault(whole[a:b], len(number)) for a, b in zip(cuts, cuts[1:])]
+        seqs.append(seq)
+        sizes.append(np.diff(np.searchsorted(at, ends)))
+    return number, np.concatenate(seqs), np.concatenate(sizes)
 
 
 def _checksum(crcs: np.ndarray) -> int:
@@ -189,14 +207,15 @@ _ROW = "block long, bucket int, check long, payload binary"
 
 
 def _send_words(buckets: int):
+    def rows(block: int, texts: list[str]) -> pa.RecordBatch:
+        parts: list[list[bytes]] = [[] for _ in range(buckets)]
+        for w in map(str.encode, _words(texts)[0]):
+            parts[zlib.crc32(w) % buckets].append(w)
+        return _batch([(block, k, 0, _pack_words(part)) for k, part in enumerate(parts) if part])
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, _, texts in _blocks(batches):
-            words = [w.encode() for w in _words(texts)[0]]
-            parts: list[list[bytes]] = [[] for _ in range(buckets)]
-            for w in words:
-                parts[zlib.crc32(w) % buckets].append(w)
-            rows = [(block, k, 0, _pack_words(part)) for k, part in enumerate(parts) if part]
-            yield _batch(rows)
+            yield rows(block, texts)
 
     return work
 
@@ -229,21 +248,24 @@ def _encode_words(path: str, pattern: str):
 
 
 def _send_positions(buckets: int):
+    def row(block: int, ids: list, texts: list[str]) -> pa.RecordBatch:
+        number, seq, sizes = _words(texts)
+        crcs = _crcs([w.encode() for w in number])
+        # The word numbers of each bucket, and their checksum, in order of bucket.
+        part = crcs % np.uint32(buckets)
+        order = np.argsort(part, kind="stable")
+        edge = np.flatnonzero(np.diff(part[order], prepend=-1, append=-1).astype(bool)) if len(part) else np.zeros(1, np.int64)
+        checks = [_checksum(crcs[order[a:b]]) for a, b in zip(edge, edge[1:])]
+        known = np.array([i is not None for i in ids], np.uint8)
+        parts = [
+            np.array([len(ids), len(part), len(seq), len(checks)], np.int64).tobytes(), known.tobytes(), np.array([i or 0 for i in ids], np.int64).tobytes(),
+            np.array(checks, np.int64).tobytes(), _planes(sizes), _planes(part), _planes(seq),
+        ]
+        return _batch([(block, -1, 0, zstandard.compress(b"".join(parts), 3))])
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, ids, texts in _blocks(batches):
-            number, seq, sizes = _words(texts)
-            crcs = _crcs([w.encode() for w in number])
-            # The word numbers of each bucket, and their checksum, in order of bucket.
-            part = crcs % np.uint32(buckets)
-            order = np.argsort(part, kind="stable")
-            edge = np.flatnonzero(np.diff(part[order], prepend=-1, append=-1).astype(bool)) if len(part) else np.zeros(1, np.int64)
-            checks = [_checksum(crcs[order[a:b]]) for a, b in zip(edge, edge[1:])]
-            known = np.array([i is not None for i in ids], np.uint8)
-            parts = [
-                np.array([len(ids), len(part), len(seq), len(checks)], np.int64).tobytes(), known.tobytes(), np.array([i or 0 for i in ids], np.int64).tobytes(),
-                np.array(checks, np.int64).tobytes(), _planes(sizes), _planes(part), _planes(seq),
-            ]
-            yield _batch([(block, -1, 0, zstandard.compress(b"".join(parts), 3))])
+            yield row(block, ids, texts)
 
     return work
 
@@ -252,6 +274,12 @@ _DIFFER = "a block's words differ between two reads of the input; write it to a
 
 
 def _assemble(frame: pd.DataFrame) -> pd.DataFrame:
+    out = _assembled(frame)
+    give_back()
+    return out
+
+
+def _assembled(frame: pd.DataFrame) -> pd.DataFrame:
     whole = frame[frame.bucket < 0]
     if len(whole) != 1:
         raise RuntimeError(_DIFFER)
@@ -279,17 +307,25 @@ def _assemble(frame: pd.DataFrame) -> pd.DataFrame:
         done += len(flat)
         flats.append(flat)
     flat = np.concatenate(flats) if flats else np.zeros(0, np.uint32)
-    count = width[seq]
-    stop = np.cumsum(count)
-    # Token k of the block takes ids first[seq[k]] ... + count[k]; written at its position.
-    out = flat[np.repeat(first[seq] - (stop - count), count) + np.arange(stop[-1])] if t else flat[:0]
+    del raw, got, flats
+    # Token k of the block takes ids first[seq[k]] ... + width[seq[k]]; written at its position.
+    out = np.empty(int(np.bincount(seq, minlength=v) @ width), np.uint32)
     ends = np.cumsum(sizes)
-    bound = np.concatenate([[0], stop])[np.concatenate([[0], ends])]
-    data = out.tobytes()
+    bound = np.zeros(n + 1, np.int64)
+    done = 0
+    for a in range(0, t, PIECE):
+        some = seq[a : a + PIECE]
+        count = width[some]
+        stop = np.cumsum(count)
+        out[done : done + stop[-1]] = flat[np.repeat(first[some] - (stop - count), count) + np.arange(stop[-1])]
+        i, j = np.searchsorted(ends, [a, a + PIECE], side="right")
+        bound[1 + i : 1 + j] = done + stop[ends[i:j] - a - 1]
+        done += int(stop[-1])
+    data = memoryview(out).cast("B")
     return pd.DataFrame({
         "id": pd.array(np.where(known, ids, 0), "Int64").copy() if known.all() else pd.array([i if k else None for i, k in zip(ids.tolist(), known)], "Int64"),
         "n_tokens": np.diff(bound),
-        "ids": [data[4 * a : 4 * b] for a, b in zip(bound.tolist(), bound[1:].tolist())],
+        "ids": [bytes(data[4 * a : 4 * b]) for a, b in zip(bound.tolist(), bound[1:].tolist())],
     })
 
 
@@ -311,32 +347,40 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     return out.withColumnRenamed("id", id_col)
 
 
+def _bytes(tokens: pa.Array, column: list[bytes | None]) -> pa.Array:
+    ids = np.frombuffer(b"".join(x or b"" for x in column), np.uint32)
+    bound = np.cumsum([0, *(len(x or b"") // 4 for x in column)])
+    taken = pc.take(tokens, pa.array(ids))
+    if taken.null_count:
+        raise IndexError("an id is not in the vocabulary")
+    offsets = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1, taken.offset * 8) if len(taken) else np.zeros(1, np.int64)
+    data = memoryview(taken.buffers()[2] or b"") if len(taken) else memoryview(b"")
+    at = offsets[bound].tolist()
+    return pa.array([None if x is None else bytes(data[a:b]) for x, a, b in zip(column, at, at[1:])], pa.binary())
+
+
+def _take_tokens(path: str, names: list[str], where: int, into: str):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_id = {i: b for b, i in ranks(path).items()}
+        tokens = pa.array([by_id.get(i) for i in range(max(by_id) + 1)], pa.large_binary())
+        for batch in batches:
+            for a, b in _runs([(n or 0) // 4 for n in pc.binary_length(batch.column(where)).to_pylist()]):
+                some = batch.slice(a, b - a)
+                kept = [(n, c) for n, c in zip(names, some.columns) if n != into]
+                out = _bytes(tokens, some.column(where).to_pylist())
+                yield pa.record_batch([*(c for _, c in kept), out], [*(n for n, _ in kept), into])
+
+    return work
+
+
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", into: str = "decoded") -> DataFrame:
     """Add ``into``: the bytes of each row's ids, joined with the table of token bytes.
 
     The table has one row for each rank, so its size is bound by the vocabulary; each task reads it
-    from the rank file and takes all ids of a batch from it at once. Null ids give null; an id
+    from the rank file and takes the ids of a run of rows from it at once. Null ids give null; an id
     that is not in the vocabulary raises IndexError.
     """
     names = [f.name for f in encoded.schema.fields]
     where = names.index(ids_col)
     schema = encoded.drop(into).schema.add(into, "binary")
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_id = {i: b for b, i in ranks(path).items()}
-        tokens = pa.array([by_id.get(i) for i in range(max(by_id) + 1)], pa.large_binary())
-        for batch in batches:
-            column = batch.column(where).to_pylist()
-            ids = np.frombuffer(b"".join(x or b"" for x in column), np.uint32)
-            bound = np.cumsum([0, *(len(x or b"") // 4 for x in column)])
-            taken = pc.take(tokens, pa.array(ids))
-            if taken.null_count:
-                raise IndexError("an id is not in the vocabulary")
-            offsets = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1, taken.offset * 8) if len(taken) else np.zeros(1, np.int64)
-            data = memoryview(taken.buffers()[2] or b"") if len(taken) else memoryview(b"")
-            at = offsets[bound].tolist()
-            out = pa.array([None if x is None else bytes(data[a:b]) for x, a, b in zip(column, at, at[1:])], pa.binary())
-            kept = [(n, c) for n, c in zip(names, batch.columns) if n != into]
-            yield pa.record_batch([*(c for _, c in kept), out], [*(n for n, _ in kept), into])
-
-    return encoded.mapInArrow(freed(work), schema)
+    return encoded.mapInArrow(freed(_take_tokens(path, names, where, into)), schema)

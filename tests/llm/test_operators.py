@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+import tracemalloc
 from itertools import combinations
 
 import numpy as np
@@ -462,6 +463,48 @@ def test_bpe_raises_where_the_input_changes_between_its_reads(spark):
                 bpe._assemble(frame)
 
 
+def encoded_block(texts, buckets=3):
+    """The rows of one block as the tasks of encode make them."""
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string()), pa.array([0] * len(texts), pa.int32())], ["id", "text", "part"])
+    words = [*bpe._encode_words(PATH, PATTERN)(bpe._send_words(buckets)(iter([batch])))]
+    return pa.Table.from_batches(words + [*bpe._send_positions(buckets)(iter([batch]))]).to_pandas()
+
+
+def decoded_batches(ids):
+    batch = pa.record_batch([pa.array(range(len(ids))), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+    return [*bpe._take_tokens(PATH, ["doc_id", "ids"], 1, "decoded")(iter([batch]))]
+
+
+def test_bpe_works_in_pieces_with_the_same_ids(monkeypatch, encoder):
+    """Pieces of any size, with edges inside and at the ends of documents, and empty ones on both sides of an edge."""
+    texts = ["", None, "one two three four five six", "", "seven", "", "eight  nine\n", "x" * 40, "日本 it's", "", " a" * 9, None]
+    for piece in (1, 2, 3, 7, 30, 1 << 17):
+        monkeypatch.setattr(bpe, "PIECE", piece)
+        got = bpe._assemble(encoded_block(texts))
+        assert [np.frombuffer(x, np.uint32).tolist() for x in got.ids] == [encoder.encode_ordinary(t or "") for t in texts]
+        assert got.n_tokens.tolist() == [len(x) // 4 for x in got.ids]
+        assert [bytes(x).decode() for b in decoded_batches(got.ids.tolist()) for x in b.column(2).to_pylist()] == [t or "" for t in texts]
+    assert [len(x) for x in bpe._words([])] == [0, 0, 0] and bpe._assemble(encoded_block(["", None])).n_tokens.tolist() == [0, 0]
+    assert [b.column(2).to_pylist() for b in decoded_batches([None, b""])] == [[None, b""]] and decoded_batches([]) == []
+
+
+def test_bpe_needs_little_memory_for_a_block():
+    """Arrays over characters, tokens and ids are made in pieces: a pipeline's executor has several such workers at once."""
+    texts = ["a bc de f. " * 130] * 1000
+    block, ids = encoded_block(texts), [np.full(1_000, 11, np.uint32).tobytes()] * 1_000
+
+    def peak(work, *args):
+        tracemalloc.start()
+        try:
+            work(*args)
+            return tracemalloc.get_traced_memory()[1] / 1e6
+        finally:
+            tracemalloc.stop()
+
+    assert peak(bpe._words, texts) < 20 and peak(bpe._assemble, block) < 20  # 10 and 14; 51 and 28 over the whole block at once
+    assert len(decoded_batches(ids)) > 5
+
+
 def around_a_line(rng, rows, shared):
     """Surroundings of one mark: ``shared`` shingles from before it on are in all rows, the rest is random or an edited copy of an earlier row's."""
     n = 2 * substring.AROUND + 1
